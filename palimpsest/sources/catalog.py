@@ -42,6 +42,14 @@ class Base:
         return df.select("*", F.col("_metadata.file_path").alias("__k0"), F.col("_metadata.row_index").alias("__k1"))
 
 
+def _moved(frame: DataFrame, spark: SparkSession) -> DataFrame:
+    """The frame in the session where this catalog's views are."""
+    if frame.sparkSession is spark:
+        return frame
+    plan = frame._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+
+
 class Catalog:
     """The base tables of an overlay. It hands out readers only; paths under a base root are never written."""
 
@@ -56,6 +64,7 @@ class Catalog:
         if frame is None and path is None:
             raise UnknownTable(f"{name}: neither a path nor a frame")
         if frame is not None:
+            frame = _moved(frame, self.spark)
             schema = frame.schema
         elif schema is None:
             schema = self.spark.read.format(format).options(**options).load(path).schema

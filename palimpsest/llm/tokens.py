@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from typing import Any
 
@@ -26,19 +27,28 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, parallelism, prepare, slices
+from .common import LOWER, fresh_path, parallelism, prepare, slices, text_bytes
 
 #: Entries a worker's word memo may hold before it starts again.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 
 
-class WordEncoder:
-    """Encodes whole texts with a tokenizers file, word by word.
+#: ASCII letters (small) and digits, and ASCII punctuation but the apostrophe.
+_ALNUM, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[97:123] = True
+_PUNCT[33:48] = _PUNCT[58:65] = _PUNCT[91:97] = _PUNCT[123:127] = True
+_PUNCT[39] = False
+
 
-    The tokenizer's rules never look across a space or a line feed, so a text's
-    ids are those of its pieces between them, one after the other. Every
-    distinct piece goes through the library once and is then looked up; this is
-    several times faster than encoding each occurrence.
+class WordEncoder:
+    """Encodes whole texts with the word-level tokenizers file, piece by piece.
+
+    That tokenizer ignores case and white space, and no match of its splitting
+    pattern goes on from a letter or digit to punctuation other than an
+    apostrophe. So a text's ids are those of its pieces between these places,
+    one after the other. Every distinct piece goes through the library once and
+    is then looked up. Texts that may hold special tokens, which do depend on
+    case, are cut at spaces only.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -48,20 +58,62 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        #: Pieces seen lately, and those of the generation before.
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
+        """Each text's pieces, the whole slice in one pass."""
+        low = LOWER[raw]
+        edges = np.flatnonzero(_ALNUM[low[:-1]] & _PUNCT[low[1:]]) + 1
+        spaced = np.insert(low, edges, 32).tobytes()
+        at = (offsets + np.searchsorted(edges, offsets, side="left")).tolist()
+        out = [spaced[a:b].split() for a, b in zip(at, at[1:])]
+        if len(raw) > 1 and ((raw[:-1] == 60) & (raw[1:] == 124)).any():  # <|
+            whole = raw.tobytes()
+            for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
+                if whole.find(b"<|", a, b) >= 0:
+                    out[i] = whole[a:b].split()
+        return out
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        memo, code = self.memo, "H" if self.dtype is np.uint16 else "I"
+        # Pieces of letters alone are one match each: many go through the library as one text.
+        plain = [w for w in fresh if w.decode().isalpha()]
+        other = [w for w in fresh if not w.decode().isalpha()]
+        for at in range(0, len(plain), 1024):
+            part = plain[at : at + 1024]
+            e = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            owner = np.array(e.word_ids)
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            if len(cuts) + 1 != len(part):  # a letter that lower-cases to something else
+                other += part
+                continue
+            ids, size = array(code, e.ids).tobytes(), len(self.end)
+            ends = (cuts * size).tolist()
+            for w, a, b in zip(part, [0, *ends], [*ends, len(ids)]):
+                memo[w] = ids[a:b]
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                memo[w] = array(code, e.ids).tobytes()
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text of a slice, ended by the end id."""
+        if len(self.memo) > MEMO_WORDS:
+            self.older, self.memo = self.memo, {}
         memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        new = list({w for p in pieces for w in p if w not in memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, self.dtype).tobytes()
+        cut = self.pieces(raw, offsets)
+        fresh = []
+        for w in set().union(*cut).difference(memo):
+            known = self.older.get(w)
+            if known is None:
+                fresh.append(w)
+            else:
+                memo[w] = known
+        self._learn(fresh)
         get = memo.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in pieces]
+        return [b"".join(map(get, p)) + self.end for p in cut]
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -205,7 +257,7 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_path, end_id)
         for batch in slices(batches, "text"):
-            ids = pa.array(encoder.encode(batch.column("text").to_pylist()), pa.binary())
+            ids = pa.array(encoder.encode(*text_bytes(batch.column("text"))), pa.binary())
             yield pa.record_batch([batch.column(c) for c in ("shard", *kept, "doc_id")] + [ids], names=["shard", *kept, "doc_id", "ids"])
 
     coded_schema = ordered.drop("text").schema.add("ids", "binary")

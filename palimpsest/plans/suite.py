@@ -508,3 +508,6 @@ def _percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["log_percentiles"] = _percentiles
 ORACLES["log_percentiles"] = """SELECT date_trunc('day', ts) AS bucket, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99,
     CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1"""
+
+
+from . import suite_keyed  # noqa: E402, F401  registers the key-value, document and stream queries

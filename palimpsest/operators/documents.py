@@ -23,13 +23,11 @@ from ..errors import NotFound, NotSupported, PreconditionFailed
 from ..session import OverlaySession
 from ..state import DEAD
 
-SCHEMA = T.StructType.fromDDL("path string, collection string, doc_id string, fields string, create_time timestamp, update_time timestamp")
+SCHEMA = T.StructType([*[T.StructField(c, T.StringType()) for c in ("path", "collection", "doc_id", "fields")], *[T.StructField(c, T.TimestampType()) for c in ("create_time", "update_time")]])
 
 #: Order of the types; fixed values.
 RANKS = {"null": 1, "bool": 2, "number": 3, "timestamp": 4, "string": 5, "bytes": 6, "ref": 7, "geo": 8, "array": 9, "map": 10}
 
-_V = F.parse_json(F.coalesce(F.col("fields"), F.lit("{}")))
-
 
 def _path(field: str) -> str:
     return "$" + "".join(f"['{p}']" if not p.isidentifier() else f".{p}" for p in field.split("."))
@@ -37,7 +35,7 @@ def _path(field: str) -> str:
 
 def raw(field: str) -> Column:
     """A field as VARIANT; null if it is missing."""
-    return F.try_variant_get(_V, _path(field), "variant")
+    return F.try_variant_get(F.parse_json(F.coalesce(F.col("fields"), F.lit("{}"))), _path(field), "variant")
 
 
 class Value:

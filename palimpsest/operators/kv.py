@@ -23,10 +23,12 @@ from ..errors import NotSupported, OverlayError, SyntaxProblem
 from ..session import OverlaySession
 from ..state import DEAD
 
-SCHEMA = T.StructType.fromDDL(
-    "key string, type string, str binary, hash map<string,string>, list array<string>, set array<string>, zset array<struct<score:double,member:string>>, "
-    "stream array<struct<id:string,fields:map<string,string>>>, expire_at timestamp"
-)
+_strings_map, _strings_array = T.MapType(T.StringType(), T.StringType()), T.ArrayType(T.StringType())
+SCHEMA = T.StructType([
+    T.StructField("key", T.StringType()), T.StructField("type", T.StringType()), T.StructField("str", T.BinaryType()), T.StructField("hash", _strings_map), T.StructField("list", _strings_array), T.StructField("set", _strings_array),
+    T.StructField("zset", T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("member", T.StringType())]))),
+    T.StructField("stream", T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("fields", _strings_map)]))), T.StructField("expire_at", T.TimestampType()),
+])
 VALUES = ("str", "hash", "list", "set", "zset", "stream")
 #: The value column of each type; fixed values.
 COLUMN_OF = {"string": "str", "hash": "hash", "list": "list", "set": "set", "zset": "zset", "stream": "stream", "hll": "set", "geo": "hash"}
@@ -67,9 +69,14 @@ def glob(pattern: str) -> str:
 
 _text = lambda c: c.cast("string")
 _bytes = lambda c: c.cast("string").cast("binary")
-S, H, L, ST, Z, X = (F.col(c) for c in VALUES)
-_empty = {"hash": F.create_map().cast("map<string,string>"), "list": F.array().cast("array<string>"), "set": F.array().cast("array<string>"), "zset": F.array().cast("array<struct<score:double,member:string>>"), "stream": F.array().cast("array<struct<id:string,fields:map<string,string>>>")}
-_or = lambda name: F.coalesce(F.col(name), _empty[name])
+
+
+def _or(name: str) -> Column:
+    """A value column, empty where the key is missing."""
+    empty = F.create_map() if name == "hash" else F.array()
+    return F.coalesce(F.col(name), empty.cast(SCHEMA[name].dataType))
+
+
 _strings = lambda values: F.array(*[F.lit(str(v)) for v in values]).cast("array<string>")
 
 
@@ -82,7 +89,7 @@ def _slice(array: Column, start: int, stop: int) -> Column:
 
 
 def _score(member: str) -> Column:
-    return F.filter(Z, lambda e: e["member"] == member)[0]["score"]
+    return F.filter(F.col("zset"), lambda e: e["member"] == member)[0]["score"]
 
 
 def _score_in(entries: Column, member: str) -> Column:
@@ -131,7 +138,7 @@ def _sorted(entries: Column) -> Column:
 
 
 def _byte_at(i: int) -> Column:
-    return F.coalesce(F.conv(F.nullif(F.substring(F.hex(S), 2 * i + 1, 2), F.lit("")), 16, 10).cast("int"), F.lit(0))
+    return F.coalesce(F.conv(F.nullif(F.substring(F.hex(F.col("str")), 2 * i + 1, 2), F.lit("")), 16, 10).cast("int"), F.lit(0))
 
 
 def _haversine(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
@@ -141,7 +148,7 @@ def _haversine(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 
 
 def _place(member: Column | str) -> tuple[Column, Column]:
-    p = F.split(H[member] if isinstance(member, str) else H.getItem(member), " ")
+    p = F.split(F.col("hash")[member] if isinstance(member, str) else F.col("hash").getItem(member), " ")
     return p[0].cast("double"), p[1].cast("double")
 
 
@@ -164,83 +171,83 @@ def _random(array: Column, n: int = 1) -> Column:
 
 def _geo_near(center: tuple[Column, Column], radius: float, unit: str) -> Column:
     limit = float(radius) * UNITS[unit.lower()]
-    rows = F.transform(F.map_keys(H), lambda m: F.struct(_haversine(center, (F.split(H[m], " ")[0].cast("double"), F.split(H[m], " ")[1].cast("double"))).alias("d"), m.alias("m")))
+    rows = F.transform(F.map_keys(F.col("hash")), lambda m: F.struct(_haversine(center, (F.split(F.col("hash")[m], " ")[0].cast("double"), F.split(F.col("hash")[m], " ")[1].cast("double"))).alias("d"), m.alias("m")))
     return F.transform(F.array_sort(F.filter(rows, lambda e: e["d"] <= limit)), lambda e: e["m"])
 
 
 def _lpos(value: str) -> Column:
-    return F.nullif(F.array_position(L, str(value)), F.lit(0)) - 1
+    return F.nullif(F.array_position(F.col("list"), str(value)), F.lit(0)) - 1
 
 
 def _getrange(start: int, stop: int) -> Column:
-    n = F.octet_length(S)
+    n = F.octet_length(F.col("str"))
     a = F.greatest(F.lit(int(start)) if int(start) >= 0 else n + int(start), F.lit(0))
     b = F.least(F.lit(int(stop)) if int(stop) >= 0 else n + int(stop), n - 1)
-    return F.when(b >= a, _text(F.unhex(F.substring(F.hex(S), a * 2 + 1, (b - a + 1) * 2)))).otherwise("")
+    return F.when(b >= a, _text(F.unhex(F.substring(F.hex(F.col("str")), a * 2 + 1, (b - a + 1) * 2)))).otherwise("")
 
 
 def _bitcount() -> Column:
-    chars = F.filter(F.split(F.hex(S), ""), lambda c: c != "")
+    chars = F.filter(F.split(F.hex(F.col("str")), ""), lambda c: c != "")
     return F.aggregate(chars, F.lit(0), lambda a, c: a + F.bit_count(F.conv(c, 16, 10).cast("int")))
 
 
 def _bits() -> Column:
-    return F.concat_ws("", F.transform(F.filter(F.split(F.hex(S), ""), lambda c: c != ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")))
+    return F.concat_ws("", F.transform(F.filter(F.split(F.hex(F.col("str")), ""), lambda c: c != ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")))
 
 
 READS: dict[str, Read] = {
-    "GET": Read("string", lambda: _text(S)),
+    "GET": Read("string", lambda: _text(F.col("str"))),
     "GETRANGE": Read("string", _getrange, ""),
-    "STRLEN": Read("string", lambda: F.octet_length(S).cast("long"), 0),
+    "STRLEN": Read("string", lambda: F.octet_length(F.col("str")).cast("long"), 0),
     "TYPE": Read(None, lambda: F.when(F.col("type").isin("hll"), "string").when(F.col("type") == "geo", "zset").otherwise(F.col("type")), "none"),
     "DUMP": Read(None, lambda: F.to_json(F.struct("type", F.base64("str").alias("str"), "hash", "list", "set", "zset", "stream"))),
-    "HGET": Read("hash", lambda f: H[str(f)]),
-    "HGETALL": Read("hash", lambda: H, {}),
-    "HMGET": Read("hash", lambda *fs: F.array(*[H[str(f)] for f in fs])),
-    "HKEYS": Read("hash", lambda: F.array_sort(F.map_keys(H)), []),
-    "HVALS": Read("hash", lambda: F.transform(F.array_sort(F.map_keys(H)), lambda k: H[k]), []),
-    "HLEN": Read("hash", lambda: F.size(H).cast("long"), 0),
-    "HEXISTS": Read("hash", lambda f: F.map_contains_key(H, str(f)).cast("int"), 0),
-    "HSCAN": Read("hash", lambda cursor=0, *a: F.map_filter(H, lambda k, v: k.rlike(glob(_option(a, "MATCH", "*")))), {}),
-    "HSTRLEN": Read("hash", lambda f: F.coalesce(F.octet_length(H[str(f)]), F.lit(0)).cast("long"), 0),
-    "HRANDFIELD": Read("hash", lambda n=1: _random(F.map_keys(H), int(n)), []),
-    "LRANGE": Read("list", lambda a, b: _slice(L, int(a), int(b)), []),
-    "LINDEX": Read("list", lambda i: F.get(L, F.lit(int(i)) if int(i) >= 0 else F.size(L) + int(i))),
-    "LLEN": Read("list", lambda: F.size(L).cast("long"), 0),
+    "HGET": Read("hash", lambda f: F.col("hash")[str(f)]),
+    "HGETALL": Read("hash", lambda: F.col("hash"), {}),
+    "HMGET": Read("hash", lambda *fs: F.array(*[F.col("hash")[str(f)] for f in fs])),
+    "HKEYS": Read("hash", lambda: F.array_sort(F.map_keys(F.col("hash"))), []),
+    "HVALS": Read("hash", lambda: F.transform(F.array_sort(F.map_keys(F.col("hash"))), lambda k: F.col("hash")[k]), []),
+    "HLEN": Read("hash", lambda: F.size(F.col("hash")).cast("long"), 0),
+    "HEXISTS": Read("hash", lambda f: F.map_contains_key(F.col("hash"), str(f)).cast("int"), 0),
+    "HSCAN": Read("hash", lambda cursor=0, *a: F.map_filter(F.col("hash"), lambda k, v: k.rlike(glob(_option(a, "MATCH", "*")))), {}),
+    "HSTRLEN": Read("hash", lambda f: F.coalesce(F.octet_length(F.col("hash")[str(f)]), F.lit(0)).cast("long"), 0),
+    "HRANDFIELD": Read("hash", lambda n=1: _random(F.map_keys(F.col("hash")), int(n)), []),
+    "LRANGE": Read("list", lambda a, b: _slice(F.col("list"), int(a), int(b)), []),
+    "LINDEX": Read("list", lambda i: F.get(F.col("list"), F.lit(int(i)) if int(i) >= 0 else F.size(F.col("list")) + int(i))),
+    "LLEN": Read("list", lambda: F.size(F.col("list")).cast("long"), 0),
     "LPOS": Read("list", _lpos),
-    "SMEMBERS": Read("set", lambda: F.array_sort(ST), []),
-    "SISMEMBER": Read("set", lambda m: F.array_contains(ST, str(m)).cast("int"), 0),
-    "SMISMEMBER": Read("set", lambda *ms: F.array(*[F.array_contains(ST, str(m)).cast("int") for m in ms])),
-    "SCARD": Read("set", lambda: F.size(ST).cast("long"), 0),
-    "SRANDMEMBER": Read("set", lambda n=1: _random(ST, int(n)), []),
-    "SSCAN": Read("set", lambda cursor=0, *a: F.filter(F.array_sort(ST), lambda m: m.rlike(glob(_option(a, "MATCH", "*")))), []),
+    "SMEMBERS": Read("set", lambda: F.array_sort(F.col("set")), []),
+    "SISMEMBER": Read("set", lambda m: F.array_contains(F.col("set"), str(m)).cast("int"), 0),
+    "SMISMEMBER": Read("set", lambda *ms: F.array(*[F.array_contains(F.col("set"), str(m)).cast("int") for m in ms])),
+    "SCARD": Read("set", lambda: F.size(F.col("set")).cast("long"), 0),
+    "SRANDMEMBER": Read("set", lambda n=1: _random(F.col("set"), int(n)), []),
+    "SSCAN": Read("set", lambda cursor=0, *a: F.filter(F.array_sort(F.col("set")), lambda m: m.rlike(glob(_option(a, "MATCH", "*")))), []),
     "ZRANGE": Read("zset", lambda a, b, *o: _zrange(a, b, o), []),
     "ZRANGEBYSCORE": Read("zset", lambda a, b, *o: _members(_limit(_by_score(a, b), o), o), []),
     "ZRANGEBYLEX": Read("zset", lambda a, b, *o: _members(_limit(_by_lex(a, b), o)), []),
-    "ZREVRANGE": Read("zset", lambda a, b, *o: _members(_slice(F.reverse(Z), int(a), int(b)), o), []),
+    "ZREVRANGE": Read("zset", lambda a, b, *o: _members(_slice(F.reverse(F.col("zset")), int(a), int(b)), o), []),
     "ZREVRANGEBYSCORE": Read("zset", lambda b, a, *o: _members(_limit(F.reverse(_by_score(a, b)), o), o), []),
     "ZREVRANGEBYLEX": Read("zset", lambda b, a, *o: _members(_limit(F.reverse(_by_lex(a, b)), o)), []),
-    "ZRANK": Read("zset", lambda m: F.nullif(F.array_position(F.transform(Z, lambda e: e["member"]), str(m)), F.lit(0)) - 1),
-    "ZREVRANK": Read("zset", lambda m: F.nullif(F.array_position(F.transform(F.reverse(Z), lambda e: e["member"]), str(m)), F.lit(0)) - 1),
+    "ZRANK": Read("zset", lambda m: F.nullif(F.array_position(F.transform(F.col("zset"), lambda e: e["member"]), str(m)), F.lit(0)) - 1),
+    "ZREVRANK": Read("zset", lambda m: F.nullif(F.array_position(F.transform(F.reverse(F.col("zset")), lambda e: e["member"]), str(m)), F.lit(0)) - 1),
     "ZSCORE": Read("zset", lambda m: _score(str(m))),
     "ZMSCORE": Read("zset", lambda *ms: F.array(*[_score(str(m)) for m in ms])),
-    "ZCARD": Read("zset", lambda: F.size(Z).cast("long"), 0),
+    "ZCARD": Read("zset", lambda: F.size(F.col("zset")).cast("long"), 0),
     "ZCOUNT": Read("zset", lambda a, b: F.size(_by_score(a, b)).cast("long"), 0),
     "ZLEXCOUNT": Read("zset", lambda a, b: F.size(_by_lex(a, b)).cast("long"), 0),
-    "ZSCAN": Read("zset", lambda cursor=0, *a: _members(F.filter(Z, lambda e: e["member"].rlike(glob(_option(a, "MATCH", "*")))), ["WITHSCORES"]), []),
-    "ZRANDMEMBER": Read("zset", lambda n=1: _random(F.transform(Z, lambda e: e["member"]), int(n)), []),
-    "XLEN": Read("stream", lambda: F.size(X).cast("long"), 0),
+    "ZSCAN": Read("zset", lambda cursor=0, *a: _members(F.filter(F.col("zset"), lambda e: e["member"].rlike(glob(_option(a, "MATCH", "*")))), ["WITHSCORES"]), []),
+    "ZRANDMEMBER": Read("zset", lambda n=1: _random(F.transform(F.col("zset"), lambda e: e["member"]), int(n)), []),
+    "XLEN": Read("stream", lambda: F.size(F.col("stream")).cast("long"), 0),
     "XRANGE": Read("stream", lambda a="-", b="+", *o: _limit_count(_ids(a, b), o), []),
     "XREVRANGE": Read("stream", lambda b="+", a="-", *o: _limit_count(F.reverse(_ids(a, b)), o), []),
-    "XINFO": Read("stream", lambda *a: F.to_json(F.struct(F.size(X).alias("length"), X[F.size(X) - 1]["id"].alias("last_id")))),
+    "XINFO": Read("stream", lambda *a: F.to_json(F.struct(F.size(F.col("stream")).alias("length"), F.col("stream")[F.size(F.col("stream")) - 1]["id"].alias("last_id")))),
     "XPENDING": Read("stream", lambda *a: F.array().cast("array<string>"), []),
-    "PFCOUNT": Read("hll", lambda: F.size(ST).cast("long"), 0),
+    "PFCOUNT": Read("hll", lambda: F.size(F.col("set")).cast("long"), 0),
     "GETBIT": Read("string", lambda i: F.shiftright(_byte_at(int(i) // 8), 7 - int(i) % 8).bitwiseAND(1), 0),
     "BITCOUNT": Read("string", lambda *a: _bitcount(), 0),
     "BITPOS": Read("string", lambda bit, *a: F.instr(_bits(), str(bit)) - 1, -1),
     "BITFIELD_RO": Read("string", lambda get, kind, at: F.conv(F.substring(_bits(), int(at) + 1, int(str(kind)[1:])), 2, 10).cast("long"), 0),
     "GEODIST": Read("geo", lambda a, b, unit="m": _haversine(_place(str(a)), _place(str(b))) / UNITS[str(unit).lower()]),
-    "GEOPOS": Read("geo", lambda *ms: F.array(*[H[str(m)] for m in ms])),
+    "GEOPOS": Read("geo", lambda *ms: F.array(*[F.col("hash")[str(m)] for m in ms])),
     "GEOHASH": Read("geo", lambda *ms: F.array(*[_geohash(_place(str(m))) for m in ms])),
     "GEORADIUS": Read("geo", lambda lon, lat, r, unit, *a: _geo_near((F.lit(float(lon)), F.lit(float(lat))), r, unit), []),
     "GEORADIUSBYMEMBER": Read("geo", lambda m, r, unit, *a: _geo_near(_place(str(m)), r, unit), []),
@@ -277,7 +284,7 @@ def _zrange(a: Any, b: Any, o: Sequence) -> Column:
     elif "BYLEX" in upper:
         found = _by_lex(b, a) if rev else _by_lex(a, b)
     else:
-        return _members(_slice(F.reverse(Z) if rev else Z, int(a), int(b)), o)
+        return _members(_slice(F.reverse(F.col("zset")) if rev else F.col("zset"), int(a), int(b)), o)
     return _members(_limit(F.reverse(found) if rev else found, o), o)
 
 
@@ -288,7 +295,7 @@ def _id_key(i: Column) -> Column:
 
 
 def _ids(low: str, high: str) -> Column:
-    out = X
+    out = F.col("stream")
     if low != "-":
         strict = low.startswith("(")
         key = _id_key(F.lit(low.lstrip("(")))
@@ -323,7 +330,7 @@ def _geo_search(a: Sequence) -> Column:
 
 def _sort(a: Sequence) -> Column:
     upper = [str(x).upper() for x in a]
-    items = F.coalesce(L, ST, F.transform(Z, lambda e: e["member"]))
+    items = F.coalesce(F.col("list"), F.col("set"), F.transform(F.col("zset"), lambda e: e["member"]))
     if "ALPHA" in upper:
         out = F.array_sort(items)
     else:
@@ -345,7 +352,6 @@ class Change:
     extra: dict[str, Column] | None = None
 
 
-_exists = F.col("type").isNotNull()
 _num = lambda c: F.coalesce(_text(c).cast("long"), F.lit(0))
 
 
@@ -358,13 +364,13 @@ def _set(now: datetime.datetime, value: Any, *o: Any) -> Change:
             expire = F.timestamp_seconds(F.lit(n if absolute else now.timestamp() + n))
     if "KEEPTTL" in upper:
         expire = F.col("expire_at")
-    when = ~_exists if "NX" in upper else _exists if "XX" in upper else None
+    when = ~F.col("type").isNotNull() if "NX" in upper else F.col("type").isNotNull() if "XX" in upper else None
     ok = F.lit("OK") if when is None else F.when(when, "OK")
-    return Change("string", _bytes(F.lit(str(value))), _text(S) if "GET" in upper else ok, when, {"expire_at": expire})
+    return Change("string", _bytes(F.lit(str(value))), _text(F.col("str")) if "GET" in upper else ok, when, {"expire_at": expire})
 
 
 def _incr(by: Column) -> Change:
-    return Change("string", _bytes(_num(S) + by), _num(S) + by)
+    return Change("string", _bytes(_num(F.col("str")) + by), _num(F.col("str")) + by)
 
 
 def _hset(pairs: Sequence) -> Change:
@@ -423,12 +429,12 @@ def _linsert(where: str, pivot: str, value: str) -> Change:
     at = F.array_position(_or("list"), str(pivot)).cast("int")
     place = at if where.upper() == "BEFORE" else at + 1
     new = F.concat(F.slice(_or("list"), F.lit(1), F.greatest(place - 1, F.lit(0))), _strings([value]), F.slice(_or("list"), F.greatest(place, F.lit(1)), F.size(_or("list")) + 1))
-    return Change("list", new, F.when(~_exists, 0).when(at == 0, -1).otherwise(F.size(_or("list")) + 1), at > 0)
+    return Change("list", new, F.when(~F.col("type").isNotNull(), 0).when(at == 0, -1).otherwise(F.size(_or("list")) + 1), at > 0)
 
 
 def _setbit(at: int, bit: int) -> Change:
     byte, shift = at // 8, 7 - at % 8
-    text = F.rpad(F.coalesce(F.hex(S), F.lit("")), F.greatest(F.length(F.coalesce(F.hex(S), F.lit(""))), F.lit(2 * (byte + 1))), F.lit("0"))
+    text = F.rpad(F.coalesce(F.hex(F.col("str")), F.lit("")), F.greatest(F.length(F.coalesce(F.hex(F.col("str")), F.lit(""))), F.lit(2 * (byte + 1))), F.lit("0"))
     old = F.conv(F.substring(text, 2 * byte + 1, 2), 16, 10).cast("int")
     new = old.bitwiseOR(1 << shift) if bit else old.bitwiseAND(0xFF ^ (1 << shift))
     out = F.concat(F.substring(text, 1, 2 * byte), F.lpad(F.hex(new), 2, "0"), F.substring(text, 2 * byte + 3, 1 << 30))
@@ -454,33 +460,33 @@ def _trim(o: Sequence) -> Change:
 
 
 def _expire(at: Column) -> Change:
-    return Change("", None, F.when(_exists, 1).otherwise(0), _exists, {"expire_at": at})
+    return Change("", None, F.when(F.col("type").isNotNull(), 1).otherwise(0), F.col("type").isNotNull(), {"expire_at": at})
 
 
 WRITES: dict[str, Callable[..., Change]] = {
     "SET": _set,
-    "SETNX": lambda now, v: Change("string", _bytes(F.lit(str(v))), (~_exists).cast("int"), ~_exists),
+    "SETNX": lambda now, v: Change("string", _bytes(F.lit(str(v))), (~F.col("type").isNotNull()).cast("int"), ~F.col("type").isNotNull()),
     "SETEX": lambda now, s, v: _set(now, v, "EX", s),
     "PSETEX": lambda now, ms, v: _set(now, v, "PX", ms),
-    "APPEND": lambda now, v: Change("string", F.concat(F.coalesce(S, F.lit(b"")), _bytes(F.lit(str(v)))), F.coalesce(F.octet_length(S), F.lit(0)) + len(str(v).encode())),
+    "APPEND": lambda now, v: Change("string", F.concat(F.coalesce(F.col("str"), F.lit(b"")), _bytes(F.lit(str(v)))), F.coalesce(F.octet_length(F.col("str")), F.lit(0)) + len(str(v).encode())),
     "INCR": lambda now: _incr(F.lit(1)), "INCRBY": lambda now, n: _incr(F.lit(int(n))), "DECR": lambda now: _incr(F.lit(-1)), "DECRBY": lambda now, n: _incr(F.lit(-int(n))),
-    "INCRBYFLOAT": lambda now, n: Change("string", _bytes(_number(F.coalesce(_text(S).cast("double"), F.lit(0.0)) + float(n))), _number(F.coalesce(_text(S).cast("double"), F.lit(0.0)) + float(n))),
-    "GETSET": lambda now, v: Change("string", _bytes(F.lit(str(v))), _text(S), None, {"expire_at": F.lit(None).cast("timestamp")}),
+    "INCRBYFLOAT": lambda now, n: Change("string", _bytes(_number(F.coalesce(_text(F.col("str")).cast("double"), F.lit(0.0)) + float(n))), _number(F.coalesce(_text(F.col("str")).cast("double"), F.lit(0.0)) + float(n))),
+    "GETSET": lambda now, v: Change("string", _bytes(F.lit(str(v))), _text(F.col("str")), None, {"expire_at": F.lit(None).cast("timestamp")}),
     "SETRANGE": lambda now, at, v: _setrange(int(at), str(v)),
-    "GETDEL": lambda now: Change("string", F.lit(None).cast("binary"), _text(S)),
-    "GETEX": lambda now, *o: Change("", None, _text(S), _exists, {"expire_at": _getex(now, o)}),
+    "GETDEL": lambda now: Change("string", F.lit(None).cast("binary"), _text(F.col("str"))),
+    "GETEX": lambda now, *o: Change("", None, _text(F.col("str")), F.col("type").isNotNull(), {"expire_at": _getex(now, o)}),
     "HSET": lambda now, *p: _hset(p), "HMSET": lambda now, *p: Change("hash", _hset(p).value, F.lit("OK")),
-    "HSETNX": lambda now, f, v: Change("hash", _hset((f, v)).value, F.when(F.coalesce(F.map_contains_key(H, str(f)), F.lit(False)), 0).otherwise(1), ~F.coalesce(F.map_contains_key(H, str(f)), F.lit(False))),
-    "HINCRBY": lambda now, f, n: Change("hash", _hput(str(f), (F.coalesce(H[str(f)].cast("long"), F.lit(0)) + int(n)).cast("string")), F.coalesce(H[str(f)].cast("long"), F.lit(0)) + int(n)),
-    "HINCRBYFLOAT": lambda now, f, n: Change("hash", _hput(str(f), _number(F.coalesce(H[str(f)].cast("double"), F.lit(0.0)) + float(n))), _number(F.coalesce(H[str(f)].cast("double"), F.lit(0.0)) + float(n))),
+    "HSETNX": lambda now, f, v: Change("hash", _hset((f, v)).value, F.when(F.coalesce(F.map_contains_key(F.col("hash"), str(f)), F.lit(False)), 0).otherwise(1), ~F.coalesce(F.map_contains_key(F.col("hash"), str(f)), F.lit(False))),
+    "HINCRBY": lambda now, f, n: Change("hash", _hput(str(f), (F.coalesce(F.col("hash")[str(f)].cast("long"), F.lit(0)) + int(n)).cast("string")), F.coalesce(F.col("hash")[str(f)].cast("long"), F.lit(0)) + int(n)),
+    "HINCRBYFLOAT": lambda now, f, n: Change("hash", _hput(str(f), _number(F.coalesce(F.col("hash")[str(f)].cast("double"), F.lit(0.0)) + float(n))), _number(F.coalesce(F.col("hash")[str(f)].cast("double"), F.lit(0.0)) + float(n))),
     "HDEL": lambda now, *fs: Change("hash", F.map_filter(_or("hash"), lambda k, v: ~k.isin(*[str(f) for f in fs])), F.size(F.array_intersect(F.map_keys(_or("hash")), _strings(fs)))),
     "LPUSH": lambda now, *v: Change("list", F.concat(_strings(v[::-1]), _or("list")), F.size(_or("list")) + len(v)),
     "RPUSH": lambda now, *v: Change("list", F.concat(_or("list"), _strings(v)), F.size(_or("list")) + len(v)),
-    "LPUSHX": lambda now, *v: Change("list", F.concat(_strings(v[::-1]), _or("list")), F.when(_exists, F.size(_or("list")) + len(v)).otherwise(0), _exists),
-    "RPUSHX": lambda now, *v: Change("list", F.concat(_or("list"), _strings(v)), F.when(_exists, F.size(_or("list")) + len(v)).otherwise(0), _exists),
-    "LSET": lambda now, i, v: Change("list", F.transform(_or("list"), lambda x, n: F.when(n == (F.lit(int(i)) if int(i) >= 0 else F.size(L) + int(i)), str(v)).otherwise(x)), F.lit("OK"), _exists),
+    "LPUSHX": lambda now, *v: Change("list", F.concat(_strings(v[::-1]), _or("list")), F.when(F.col("type").isNotNull(), F.size(_or("list")) + len(v)).otherwise(0), F.col("type").isNotNull()),
+    "RPUSHX": lambda now, *v: Change("list", F.concat(_or("list"), _strings(v)), F.when(F.col("type").isNotNull(), F.size(_or("list")) + len(v)).otherwise(0), F.col("type").isNotNull()),
+    "LSET": lambda now, i, v: Change("list", F.transform(_or("list"), lambda x, n: F.when(n == (F.lit(int(i)) if int(i) >= 0 else F.size(F.col("list")) + int(i)), str(v)).otherwise(x)), F.lit("OK"), F.col("type").isNotNull()),
     "LINSERT": lambda now, w, p, v: _linsert(str(w), p, v),
-    "LPOP": lambda now, n=None: Change("list", _slice(_or("list"), int(n or 1), -1), F.get(L, F.lit(0)) if n is None else F.slice(_or("list"), 1, int(n))),
+    "LPOP": lambda now, n=None: Change("list", _slice(_or("list"), int(n or 1), -1), F.get(F.col("list"), F.lit(0)) if n is None else F.slice(_or("list"), 1, int(n))),
     "RPOP": lambda now, n=None: Change("list", _slice(_or("list"), 0, -1 - int(n or 1)), F.get(F.reverse(_or("list")), F.lit(0)) if n is None else F.slice(F.reverse(_or("list")), 1, int(n))),
     "LREM": lambda now, n, v: Change("list", _lrem(int(n), v), F.size(_or("list")) - F.size(_lrem(int(n), v))),
     "LTRIM": lambda now, a, b: Change("list", _slice(_or("list"), int(a), int(b)), F.lit("OK")),
@@ -498,7 +504,7 @@ WRITES: dict[str, Callable[..., Change]] = {
     "PFADD": lambda now, *m: Change("hll", F.array_sort(F.array_union(_or("set"), _strings(m))), (F.size(F.array_except(_strings(m), _or("set"))) > 0).cast("int")),
     "SETBIT": lambda now, at, bit: _setbit(int(at), int(bit)),
     "GEOADD": lambda now, *a: Change("geo", _hset([x for lon, lat, m in zip(a[::3], a[1::3], a[2::3]) for x in (m, f"{float(lon)} {float(lat)}")]).value, _hset([x for lon, lat, m in zip(a[::3], a[1::3], a[2::3]) for x in (m, "")]).reply),
-    "PERSIST": lambda now: Change("", None, F.when(F.col("expire_at").isNotNull(), 1).otherwise(0), _exists, {"expire_at": F.lit(None).cast("timestamp")}),
+    "PERSIST": lambda now: Change("", None, F.when(F.col("expire_at").isNotNull(), 1).otherwise(0), F.col("type").isNotNull(), {"expire_at": F.lit(None).cast("timestamp")}),
     "EXPIRE": lambda now, s, *o: _expire(F.timestamp_seconds(F.lit(now.timestamp() + float(s)))), "PEXPIRE": lambda now, ms, *o: _expire(F.timestamp_seconds(F.lit(now.timestamp() + float(ms) / 1000))),
     "EXPIREAT": lambda now, s, *o: _expire(F.timestamp_seconds(F.lit(float(s)))), "PEXPIREAT": lambda now, ms, *o: _expire(F.timestamp_seconds(F.lit(float(ms) / 1000))),
 }
@@ -517,7 +523,7 @@ def _getex(now: datetime.datetime, o: Sequence) -> Column:
 
 def _setrange(at: int, value: str) -> Change:
     raw = value.encode().hex().upper()
-    old = F.coalesce(F.hex(S), F.lit(""))
+    old = F.coalesce(F.hex(F.col("str")), F.lit(""))
     padded = F.rpad(old, F.greatest(F.length(old), F.lit(2 * at)), F.lit("0"))
     out = F.concat(F.substring(padded, 1, 2 * at), F.lit(raw), F.substring(padded, 2 * at + len(raw) + 1, 1 << 30))
     return Change("string", F.unhex(out), (F.length(out) / 2).cast("long"))
@@ -696,7 +702,7 @@ class KeyValue:
         """All pairs as one segment."""
         last = {str(k): str(v) for k, v in zip(pairs[::2], pairs[1::2])}
         rows = self.session.spark.createDataFrame([(k, "string", bytearray(v.encode()), None, None, None, None, None, None) for k, v in last.items()], SCHEMA)
-        self._store(rows, Change("string", S, F.lit(0)))
+        self._store(rows, Change("string", F.col("str"), F.lit(0)))
         return "OK"
 
     def _do_msetnx(self, *pairs: str) -> int:

@@ -12,9 +12,6 @@ from pyspark.sql import types as T
 from ..errors import NotSupported, UnknownTable, WriteGuard
 from ..state import ForeignKey, TableDiff, TableMeta, TableState
 
-FILE_FORMATS = ("parquet", "orc", "csv", "json", "text")
-
-
 @dataclass(frozen=True)
 class Base:
     """One read-only table: files of a format, a JDBC relation, or a frame."""
@@ -32,7 +29,9 @@ class Base:
         if self.frame is not None:
             df = self.frame
         else:
-            df = spark.read.format(self.format).options(**dict(self.options)).schema(self.schema).load(self.path)
+            reader = spark.read.format(self.format).options(**dict(self.options))
+            # Files are read by the schema found once; a database relation has its own.
+            df = (reader if self.format == "jdbc" else reader.schema(self.schema)).load(self.path)
         if not keys:
             return df
         if self.meta.pk:
@@ -61,7 +60,12 @@ class Catalog:
         self, name: str, path: str | None = None, *, frame: DataFrame | None = None, format: str = "parquet", pk: Sequence[str] = (), fks: Sequence[ForeignKey] = (),
         defaults: Mapping[str, str] | None = None, generated: Sequence[str] = (), auto_id: bool = False, schema: T.StructType | None = None, **options: str,
     ) -> TableState:
-        if frame is None and path is None:
+        """Add a table: ``path`` with any reader ``format`` and its ``options`` (parquet, orc, csv, json, jdbc, ...), or a ``frame``.
+
+        ``pk`` names the key columns. A table without one is told apart by the
+        place of its rows in parquet files. The schema is found once.
+        """
+        if frame is None and path is None and format != "jdbc":
             raise UnknownTable(f"{name}: neither a path nor a frame")
         if frame is not None:
             frame = _moved(frame, self.spark)

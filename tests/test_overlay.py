@@ -276,3 +276,18 @@ def test_document_requests(spark):
     assert s.get("m/a") == {"v": "s", "w": 5} and s.batch_get(["m/b", "m/z"]) == [("m/b", None), ("m/z", {"v": 1, "w": {"x": 1}})]
     s.create("m", "b", {})
     assert s.get("m/b") == {} and s.list("m", 3)[1] == "m/d"
+
+
+@pytest.mark.parametrize("format", ["csv", "json", "orc"])
+def test_other_file_formats(spark, format):
+    folder = f"/tmp/palimpsest-test-{uuid.uuid4().hex}"
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, v string").write.format(format).option("header", True).save(folder)
+    d = Database(spark)
+    d.register("t", folder, format=format, pk=["id"], header="true", inferSchema="true")
+    s = d.session()
+    s.script("UPDATE t SET v = 'x' WHERE id = 2; DELETE FROM t WHERE id = 1")
+    assert sorted((r["id"], r["v"]) for r in s.sql("SELECT id, v FROM t").collect()) == [(2, "x"), (3, None)]
+    keyless = Database(spark)
+    keyless.register("t", folder, format=format, header="true", inferSchema="true")
+    with pytest.raises(errors.NotSupported):
+        keyless.session().sql("DELETE FROM t")

@@ -31,8 +31,8 @@ RAW_TAGS = frozenset("script style noscript template iframe svg math canvas obje
 SCOPES = frozenset("article aside body div footer form header main menu nav section ul ol table dl details dialog fieldset select button".split())
 #: Words in class, id or role that name what isn't the article; fixed values.
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar|side|rail|widget|"
-    r"nav\w*|menu|breadcrumbs?|pagination|pager|toolbar|header|masthead|footer|copyright|legal|disclaimer|share|sharing|social|related|recommend\w*|more|trending|tags?|comments?|replies|reply|disqus|respond|form|search|login|contentinfo|complementary|dialog)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(ad|ads|advert\w*|adbox|adsbygoogle|banner|outbrain|taboola|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar|side|rail|widget|"
+    r"nav\w*|menu|breadcrumbs?|pagination|pager|toolbar|header|masthead|footer|copyright|legal|disclaimer|share|sharing|social|related|recommend\w*|more|trending|tags?|comments?|commentlist|commentary|replies|reply|disqus|respond|form|search|login|contentinfo|complementary|dialog)(?=$|[\s_-])",
     re.I,
 )
 CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|body|main|text)(?=$|[\s_-])", re.I)
@@ -40,6 +40,7 @@ CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|body|main
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
 _ATTR_END = re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=$|[\s=])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 
@@ -143,14 +144,17 @@ def blocks(page: str) -> list[Block]:
                         break
             else:
                 _, article, boiler = scopes[-1] if scopes else ("", False, False)
-                named = " ".join("".join(g) for g in _NAMES.findall(attributes))
+                named = _HUMP.sub("-", " ".join("".join(g) for g in _NAMES.findall(attributes)))
+                names_boiler = BOILER.search(named) if named else None
+                if names_boiler and article and names_boiler.group(1).lower() in ("header", "masthead"):
+                    names_boiler = None  # an article's own heading
                 if name in ("article", "main"):
                     article = True
-                elif named and CONTENT.search(named) and not BOILER.search(named):
+                elif named and CONTENT.search(named) and not names_boiler:
                     article = True
                 if name in ("nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "fieldset") or (name == "header" and not article):
                     boiler = True
-                elif named and BOILER.search(named) and name not in ("body", "main"):
+                elif names_boiler and name not in ("body", "main"):
                     boiler = True
                 elif _HIDDEN.search(attributes):
                     boiler = True

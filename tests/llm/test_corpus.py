@@ -372,6 +372,7 @@ def test_main_text_of_pages():
         f"<header>site</header><div class='sidebar'>{long}</div><main><p>One<br>two</p><script>var a='<p>x</p>'</script><style>p{{}}</style></main><form>mail <input></form>": "One two",
         f"<article><p>{long}</p><!-- <p>gone</p> --><aside>{long}</aside><div class='comments'><p>{long}</p></div></article><div class=ad>{long}</div>": long.strip(),
         f"<p>{long}<p>{long}": f"{long.strip()}\n{long.strip()}",
+        f"<div id='siteHeader'>{long}</div><div class='postBody'><div class='entry-header'><h1>H</h1></div><p>{long}</p><section class='reader-comments'><p>{long}</p></section></div><div class='cookieBar'>{long}</div>": f"H\n{long.strip()}",
         "": "", "<article><p>cut off &am": "cut off &am", f'<article title="a > b"><p>{long}</p><p class="x': long.strip(),
     }
     for page, want in cases.items():

@@ -10,6 +10,7 @@ in one Spark job, and a write is one more segment of the overlay.
 from __future__ import annotations
 
 import datetime
+import json
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -239,8 +240,6 @@ READS: dict[str, Read] = {
     "XLEN": Read("stream", lambda: F.size(F.col("stream")).cast("long"), 0),
     "XRANGE": Read("stream", lambda a="-", b="+", *o: _limit_count(_ids(a, b), o), []),
     "XREVRANGE": Read("stream", lambda b="+", a="-", *o: _limit_count(F.reverse(_ids(a, b)), o), []),
-    "XINFO": Read("stream", lambda *a: F.to_json(F.struct(F.size(F.col("stream")).alias("length"), F.col("stream")[F.size(F.col("stream")) - 1]["id"].alias("last_id")))),
-    "XPENDING": Read("stream", lambda *a: F.array().cast("array<string>"), []),
     "PFCOUNT": Read("hll", lambda: F.size(F.col("set")).cast("long"), 0),
     "GETBIT": Read("string", lambda i: F.shiftright(_byte_at(int(i) // 8), 7 - int(i) % 8).bitwiseAND(1), 0),
     "BITCOUNT": Read("string", lambda *a: _bitcount(), 0),
@@ -252,7 +251,6 @@ READS: dict[str, Read] = {
     "GEORADIUS": Read("geo", lambda lon, lat, r, unit, *a: _geo_near((F.lit(float(lon)), F.lit(float(lat))), r, unit), []),
     "GEORADIUSBYMEMBER": Read("geo", lambda m, r, unit, *a: _geo_near(_place(str(m)), r, unit), []),
     "GEOSEARCH": Read("geo", lambda *a: _geo_search(a), []),
-    "OBJECT": Read(None, lambda *a: F.col("type")),
     "SORT": Read(None, lambda *a: _sort(a), []),
 }
 
@@ -575,7 +573,8 @@ class KeyValue:
         new = {c: F.col(c) for c in SCHEMA.fieldNames()}
         if column is not None:
             # A key that is set anew has no other value left.
-            new.update({c: F.lit(None).cast(SCHEMA[c].dataType) for c in VALUES})
+            # (A stream's consumer groups are in its hash column and stay.)
+            new.update({c: F.lit(None).cast(SCHEMA[c].dataType) for c in VALUES if (change.kind, c) != ("stream", "hash")})
             new[column] = change.value
             new["type"] = F.lit(change.kind)
         new.update(change.extra or {})
@@ -883,6 +882,140 @@ class KeyValue:
         got = {k: self.execute("XRANGE", k, f"({i_}" if i_ not in ("0", "$") else "-", "+", *a[:i]) for k, i_ in zip(keys, ids) if i_ != "$"}
         return {k: v for k, v in got.items() if v}
 
+    # -- consumer groups: in a stream's hash column, each group's JSON {last, pending: {id: [consumer, ms, times]}} ----
+
+    def _groups(self, key: str) -> tuple[Any, dict[str, dict]]:
+        row = self.rows().filter((F.col("key") == str(key)) & (F.col("type") == "stream")).first()
+        return row, {g: json.loads(t) for g, t in ((row["hash"] or {}) if row else {}).items()}
+
+    def _save_groups(self, key: str, groups: dict[str, dict], row: Any) -> None:
+        data = (row.asDict() if row else dict.fromkeys(SCHEMA.fieldNames())) | {"key": str(key), "type": "stream", "hash": {g: json.dumps(v) for g, v in groups.items()}}
+        data["stream"] = data["stream"] or []
+        out = self.session.spark.createDataFrame([tuple(data[c] for c in SCHEMA.fieldNames())], SCHEMA)
+        self._store(out, Change("", None, F.lit(0)))
+
+    def _group(self, key: str, group: str) -> tuple[Any, dict[str, dict]]:
+        row, groups = self._groups(key)
+        if group not in groups:
+            raise OverlayError(f"NOGROUP {group} of {key}")
+        return row, groups
+
+    def _ms(self) -> int:
+        return int(self.now().timestamp() * 1000)
+
+    def _do_xgroup(self, what: str, key: str, group: str, *a: Any) -> Any:
+        what = what.upper()
+        row, groups = self._groups(key)
+        if what == "CREATE":
+            if row is None and "MKSTREAM" not in [str(x).upper() for x in a]:
+                raise OverlayError("the stream must exist")
+            if group in groups:
+                raise OverlayError("BUSYGROUP")
+            last = (row["stream"][-1]["id"] if row and row["stream"] else "0-0") if a and a[0] == "$" else str(a[0] if a else "0-0")
+            groups[group] = {"last": last, "pending": {}, "consumers": []}
+        elif what == "DESTROY":
+            if groups.pop(group, None) is None:
+                return 0
+        elif what == "SETID":
+            groups[group]["last"] = str(a[0])
+        elif what == "CREATECONSUMER":
+            if a[0] in groups[group]["consumers"]:
+                return 0
+            groups[group]["consumers"].append(a[0])
+        elif what == "DELCONSUMER":
+            mine = [i for i, p in groups[group]["pending"].items() if p[0] == a[0]]
+            groups[group]["pending"] = {i: p for i, p in groups[group]["pending"].items() if p[0] != a[0]}
+            groups[group]["consumers"] = [c for c in groups[group]["consumers"] if c != a[0]]
+            self._save_groups(key, groups, row)
+            return len(mine)
+        else:
+            raise NotSupported(f"XGROUP {what}")
+        self._save_groups(key, groups, row)
+        return "OK" if what in ("CREATE", "SETID") else 1
+
+    def _do_xreadgroup(self, *a: Any) -> dict[str, list]:
+        upper = [str(x).upper() for x in a]
+        group, consumer = a[upper.index("GROUP") + 1], a[upper.index("GROUP") + 2]
+        rest = a[upper.index("STREAMS") + 1 :]
+        count = _option(a, "COUNT", None)
+        out = {}
+        for key, after in zip(rest[: len(rest) // 2], rest[len(rest) // 2 :]):
+            row, groups = self._group(key, group)
+            g = groups[group]
+            if after == ">":
+                got = self.execute("XRANGE", key, f"({g['last']}", "+", *(("COUNT", count) if count else ()))
+                if not got:
+                    continue
+                g["last"] = got[-1]["id"]
+                if "NOACK" not in upper:
+                    g["pending"] |= {e["id"]: [consumer, self._ms(), 1] for e in got}
+                if consumer not in g["consumers"]:
+                    g["consumers"].append(consumer)
+                self._save_groups(key, groups, row)
+            else:
+                got = [e for e in row["stream"] or [] if g["pending"].get(e["id"], [None])[0] == consumer]
+            out[key] = got
+        return out
+
+    def _do_xack(self, key: str, group: str, *ids: str) -> int:
+        row, groups = self._groups(key)
+        pending = groups.get(group, {}).get("pending", {})
+        n = sum(pending.pop(i, None) is not None for i in ids)
+        if n:
+            self._save_groups(key, groups, row)
+        return n
+
+    def _do_xclaim(self, key: str, group: str, consumer: str, idle: Any, *ids: Any) -> list[Any]:
+        row, groups = self._group(key, group)
+        pending, now = groups[group]["pending"], self._ms()
+        taken = [i for i in ids if i in pending and now - pending[i][1] >= int(idle)]
+        for i in taken:
+            pending[i] = [consumer, now, pending[i][2] + 1]
+        if taken:
+            self._save_groups(key, groups, row)
+        return [e for e in row["stream"] or [] if e["id"] in taken]
+
+    def _do_xautoclaim(self, key: str, group: str, consumer: str, idle: Any, start: str = "0-0", *o: Any) -> tuple[str, list[Any]]:
+        _, groups = self._group(key, group)
+        order = lambda i: tuple(int(x) for x in str(i).split("-"))
+        now, n = self._ms(), int(_option(o, "COUNT", 100))
+        old = sorted((i for i, p in groups[group]["pending"].items() if order(i) >= order(start) and now - p[1] >= int(idle)), key=order)
+        return (old[n] if len(old) > n else "0-0"), self._do_xclaim(key, group, consumer, idle, *old[:n])
+
+    def _do_xpending(self, key: str, group: str, *o: Any) -> Any:
+        _, groups = self._group(key, group)
+        pending = sorted(groups[group]["pending"].items())
+        if not o:
+            per: dict[str, int] = {}
+            for _, p in pending:
+                per[p[0]] = per.get(p[0], 0) + 1
+            return [len(pending), pending[0][0] if pending else None, pending[-1][0] if pending else None, per]
+        return [[i, p[0], self._ms() - p[1], p[2]] for i, p in pending][: int(o[-1]) if str(o[-1]).isdigit() else None]
+
+    def _do_xinfo(self, what: str, key: str, *a: Any) -> Any:
+        row, groups = self._groups(key)
+        if what.upper() == "GROUPS":
+            return [{"name": g, "consumers": len(v["consumers"]), "pending": len(v["pending"]), "last": v["last"]} for g, v in sorted(groups.items())]
+        if what.upper() == "CONSUMERS":
+            g = groups[a[0]]
+            return [{"name": c, "pending": sum(p[0] == c for p in g["pending"].values())} for c in g["consumers"]]
+        if row is None:
+            raise OverlayError("no such key")
+        return {"length": len(row["stream"] or []), "groups": len(groups), "last": row["stream"][-1]["id"] if row["stream"] else None}
+
+    def _do_object(self, what: str, key: str) -> Any:
+        kind = self._read("TYPE", key, ())
+        if what.upper() == "ENCODING":
+            return None if kind == "none" else {"string": "raw", "hash": "hashtable", "list": "quicklist", "set": "hashtable", "zset": "skiplist", "stream": "stream"}[kind]
+        return None if kind == "none" else 1 if what.upper() == "REFCOUNT" else 0
+
+    def _do_sort(self, key: str, *a: Any) -> Any:
+        upper = [str(x).upper() for x in a]
+        if "STORE" not in upper:
+            return self._read("SORT", key, a)
+        i = upper.index("STORE")
+        return self._put(a[i + 1], "list", self._read("SORT", key, [*a[:i], *a[i + 2 :]]))
+
     def _do_geosearchstore(self, to: str, key: str, *a: Any) -> int:
         members = self.execute("GEOSEARCH", key, *a)
         places = self.execute("GEOPOS", key, *members) if members else []
@@ -917,7 +1050,6 @@ class KeyValue:
 
     def _do_restore(self, key: str, ttl: int, dump: str, *o: Any) -> str:
         import base64
-        import json
 
         if self._do_exists(key) and "REPLACE" not in [str(x).upper() for x in o]:
             raise OverlayError("BUSYKEY")
@@ -1009,10 +1141,10 @@ def strategy_of(command: str) -> str:
         return "TRUNCATE"
     if name in SESSION or name in ("WATCH",):
         return "BASE_DIRECT"
-    if name in READS or name in ("MGET", "EXISTS", "KEYS", "SCAN", "DBSIZE", "RANDOMKEY", "TTL", "PTTL", "EXPIRETIME", "PEXPIRETIME", "SUNION", "SINTER", "SDIFF", "SINTERCARD", "ZUNION", "ZINTER", "ZDIFF", "PFCOUNT", "LCS", "XREAD"):
+    if name in READS or name in ("MGET", "EXISTS", "KEYS", "SCAN", "DBSIZE", "RANDOMKEY", "TTL", "PTTL", "EXPIRETIME", "PEXPIRETIME", "SUNION", "SINTER", "SDIFF", "SINTERCARD", "ZUNION", "ZINTER", "ZDIFF", "PFCOUNT", "LCS", "XREAD", "XINFO", "XPENDING", "OBJECT"):
         return "MERGED_READ"
     if name in POPS or name in ("DEL", "UNLINK", "BLPOP", "BRPOP", "BZPOPMIN", "BZPOPMAX", "LMPOP", "ZMPOP"):
         return "OVERLAY_DELETE"
-    if name in WRITES and name not in ("SET", "SETNX", "SETEX", "PSETEX") or name in ("RENAME", "RENAMENX", "SMOVE", "RPOPLPUSH", "LMOVE", "BLMOVE", "BITFIELD"):
+    if name in WRITES and name not in ("SET", "SETNX", "SETEX", "PSETEX") or name in ("RENAME", "RENAMENX", "SMOVE", "RPOPLPUSH", "LMOVE", "BLMOVE", "BITFIELD", "XREADGROUP", "XAUTOCLAIM"):
         return "HYDRATE_AND_WRITE"
     return "OVERLAY_WRITE" if name in WRITES or hasattr(KeyValue, f"_do_{name.lower()}") else "NOT_SUPPORTED"

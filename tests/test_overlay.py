@@ -257,6 +257,26 @@ def test_key_value_commands(spark):
     assert s.execute("FLUSHALL") == "OK" and s.execute("DBSIZE") == 0
 
 
+def test_stream_groups(spark):
+    clock = [datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)]
+    d = Database(spark)
+    d.register("kv", frame=spark.createDataFrame([], kv.SCHEMA), pk=["key"])
+    s = kv.KeyValue(d.session(), now=lambda: clock[0])
+    for i in (1, 2, 3):
+        s.execute("XADD", "x", f"{i}-0", "n", i)
+    assert s.execute("XGROUP", "CREATE", "x", "g", "0") == "OK"
+    assert [e["id"] for e in s.execute("XREADGROUP", "GROUP", "g", "a", "COUNT", 2, "STREAMS", "x", ">")["x"]] == ["1-0", "2-0"]
+    s.execute("XADD", "x", "4-0", "n", 4)
+    assert s.execute("XACK", "x", "g", "1-0", "9-9") == 1 and s.execute("XPENDING", "x", "g") == [1, "2-0", "2-0", {"a": 1}]
+    clock[0] += datetime.timedelta(seconds=5)
+    assert [e["id"] for e in s.execute("XCLAIM", "x", "g", "b", 1000, "2-0")] == ["2-0"] and s.execute("XAUTOCLAIM", "x", "g", "c", 1000)[1] == []
+    assert [e["id"] for e in s.execute("XREADGROUP", "GROUP", "g", "b", "STREAMS", "x", ">")["x"]] == ["3-0", "4-0"]
+    assert s.execute("XINFO", "GROUPS", "x") == [{"name": "g", "consumers": 2, "pending": 3, "last": "4-0"}]
+    assert s.execute("XLEN", "x") == 4 and s.execute("XTRIM", "x", "MAXLEN", 1) == 3 and s.execute("XREADGROUP", "GROUP", "g", "b", "STREAMS", "x", ">") == {}
+    assert s.execute("RPUSH", "l", "3", "1", "2") == 3 and s.execute("SORT", "l", "STORE", "m") == 3 and s.execute("LRANGE", "m", 0, -1) == ["1", "2", "3"]
+    assert s.execute("OBJECT", "ENCODING", "l") == "quicklist"
+
+
 def test_document_requests(spark):
     at = datetime.datetime(2024, 1, 1)
     values = {"a": {"v": "s"}, "b": {"v": 3}, "c": {"v": None}, "d": {}, "e": {"v": 2.5}, "f": {"v": [1, "x"]}, "g": {"v": True}, "h": {"v": at}, "i": {"v": float("nan")}}

@@ -2,14 +2,16 @@
 
 import datetime
 import hashlib
+import json
 import pathlib
 import random
 import uuid
 
 import pytest
 
-from palimpsest import errors
+from palimpsest import errors, tools
 from palimpsest.operators import documents, kv
+from palimpsest.registry import Registry
 from palimpsest.session import Database
 from palimpsest.state import ForeignKey, deserialize_key, serialize_key
 
@@ -311,3 +313,46 @@ def test_other_file_formats(spark, format):
     keyless.register("t", folder, format=format, header="true", inferSchema="true")
     with pytest.raises(errors.NotSupported):
         keyless.session().sql("DELETE FROM t")
+
+
+def test_registry_keeps_named_databases(spark):
+    r = Registry(spark, f"/tmp/palimpsest-test-{uuid.uuid4().hex}")
+    db = r.create("one", {"nation": {"path": f"{DATA}/nation.parquet", "pk": ["n_nationkey"]}})
+    db.session().sql("DELETE FROM nation WHERE n_nationkey < 5")
+    r.save("one")
+    db.session().sql("DELETE FROM nation")
+    again = r.reopen("one").session()
+    assert rows(again, "SELECT count(*) FROM nation") == [(20,)] and r.list().first()["name"] == "one"
+    r.reset("one")
+    assert rows(r.open("one").session(), "SELECT count(*) FROM nation") == [(25,)]
+    with pytest.raises(errors.OverlayError):
+        r.create("one", {})
+    r.drop("one")
+    with pytest.raises(errors.UnknownTable):
+        r.open("one")
+
+
+def test_tools_speak_json(spark, db):
+    s = db.session()
+    assert json.loads(tools.db_query(s, "SELECT 1 AS a")) == {"columns": ["a"], "rows": [{"a": 1}]}
+    assert json.loads(tools.db_query(s, "DELETE FROM nation WHERE n_nationkey = 1"))["rows"] == [{"affected": 1}]
+    assert json.loads(tools.db_query(s, "INSERT INTO nation VALUES (2, 'x', 1)"))["sqlstate"] == "23505"
+    d = Database(spark)
+    d.register("kv", frame=spark.createDataFrame([], kv.SCHEMA), pk=["key"])
+    k = kv.KeyValue(d.session())
+    assert tools.kv_command(k, "HSET h 'a b' 1") == "1" and tools.kv_hgetall(k, "h") == '{"a b": "1"}' and tools.kv_keys(k) == '["h"]'
+    d.register("docs", frame=spark.createDataFrame([], documents.SCHEMA), pk=["path"])
+    docs = documents.Documents(d.session())
+    docs.create("c", "x", {"n": 1})
+    assert tools.doc_get(docs, "c/x") == '{"n":1}' and tools.doc_get(docs, "c/none") == "null"
+    assert json.loads(tools.doc_query(docs, "c", ["n", "=", 1])) == json.loads(tools.doc_list(docs, "c"))["documents"]
+
+
+def test_other_dialects_of_change(db):
+    s = db.session()
+    s.script("EXEC sp_rename 'nation.n_name', 'label', 'COLUMN'; EXEC sp_rename 'region', 'area'; ALTER TABLE area CHANGE COLUMN r_name title VARCHAR(20)")
+    assert rows(s, "SELECT label FROM nation ORDER BY n_nationkey LIMIT 2, 1") == rows(s, "SELECT label FROM nation WHERE n_nationkey = 2")
+    assert s.sql("SELECT * FROM area").columns == ["r_regionkey", "title"]
+    out = s.sql("UPDATE nation SET label = 'q' OUTPUT inserted.n_nationkey WHERE n_nationkey = 3")
+    assert [tuple(r) for r in out.collect()] == [(3,)]
+    assert [tuple(r) for r in s.sql("DELETE FROM nation OUTPUT deleted.label WHERE n_nationkey = 3").collect()] == [("q",)]

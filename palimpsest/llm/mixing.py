@@ -27,7 +27,7 @@ MAX_BLOCKS = 200_000
 #: Code points in one block, at least.
 MIN_BLOCK = 1 << 16
 #: Rows of a source that one running sum covers.
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 1024
 
 
 def pfair(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple[str, int, int, int, int]]:

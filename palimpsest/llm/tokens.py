@@ -19,6 +19,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -116,6 +117,12 @@ class WordEncoder:
         return [b"".join(map(get, p)) + self.end for p in cut]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> WordEncoder:
+    """One encoder for each worker process, so that what it has learned outlives a task."""
+    return WordEncoder(path, end_id)
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -194,12 +201,13 @@ class ShardReader:
         self.length = stream.schema.field("ids").type.list_size
         self.batches = list(stream)
         self.docs = pa.ipc.open_stream(index).read_all()
+        self.flat = [b.column("ids").flatten().to_numpy() for b in self.batches]  # views, no copies
         self.batch_rows = self.batches[0].num_rows if self.batches else 1
         self.n_sequences = sum(b.num_rows for b in self.batches)
 
     def sequence(self, i: int) -> np.ndarray:
         b, r = divmod(i, self.batch_rows)
-        return self.batches[b].column("ids").flatten().to_numpy()[r * self.length : (r + 1) * self.length]
+        return self.flat[b][r * self.length : (r + 1) * self.length]
 
     def mask(self, i: int) -> np.ndarray:
         b, r = divmod(i, self.batch_rows)
@@ -209,7 +217,7 @@ class ShardReader:
         size, parts = self.batch_rows * self.length, []
         while n > 0:
             b, o = divmod(at, size)
-            part = self.batches[b].column("ids").flatten().to_numpy()[o : o + n]
+            part = self.flat[b][o : o + n]
             parts.append(part)
             at, n = at + len(part), n - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
@@ -255,7 +263,7 @@ def write_token_files(
     kept = [f"k{i}" for i in range(len(order))]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id)
         for batch in slices(batches, "text"):
             ids = pa.array(encoder.encode(*text_bytes(batch.column("text"))), pa.binary())
             yield pa.record_batch([batch.column(c) for c in ("shard", *kept, "doc_id")] + [ids], names=["shard", *kept, "doc_id", "ids"])
@@ -264,7 +272,7 @@ def write_token_files(
     coded = ordered.mapInArrow(encode, coded_schema).repartition(shards, "shard").sortWithinPartitions("shard", *kept, "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = WordEncoder(tokenizer_path, end_id).dtype
+        dtype = encoder_of(tokenizer_path, end_id).dtype
         writer, current = None, None
 
         def closed() -> pa.RecordBatch:

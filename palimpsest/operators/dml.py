@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +39,12 @@ class Writer:
     def apply(self, state: TableState, rows: DataFrame, inserts: bool = False) -> tuple[TableState, DataFrame, int]:
         """Store ``rows`` (key columns, dead mark, table columns): (state, the rows stored, how many)."""
         rows = rows.select(*state.key_columns, DEAD, *[F.col(f"`{n}`").cast(t).alias(n) for n, t, _, _ in state.diff.columns])
-        frame, path, n = self.store.write(rows, state.name, dead=F.sum(F.col(DEAD).cast("long")))
+        some_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in state.key_columns])
+        frame, path, n = self.store.write(rows, state.name, dead=F.sum(F.col(DEAD).cast("long")), nulls=F.sum(some_null.cast("long")))
         if not n["n"]:
             return state, frame, 0
         after = state.evolve(
+            null_keys=state.null_keys or n["nulls"] > 0,
             segments=(*state.segments, frame), paths=(*state.paths, path), rows=state.rows + n["n"], tombstones=state.tombstones + n["dead"], inserts=state.inserts + (n["n"] if inserts else 0)
         )
         if len(after.segments) > MAX_SEGMENTS:

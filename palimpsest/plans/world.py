@@ -59,5 +59,6 @@ def shared(spark: SparkSession, sf_dir: str) -> OverlaySession:
         s.sql("BEGIN")
         s.script(SCRIPT)
         s.sql("COMMIT")
+        db.compact()
         _shared[key] = db
     return _shared[key].session()

@@ -86,6 +86,8 @@ class TableState:
     tombstones: int = 0
     inserts: int = 0
     dropped: bool = False
+    #: Whether a key in the segments has a null.
+    null_keys: bool = False
     next_id: int | None = None
     #: Grows with every change; two sessions compare it.
     stamp: int = 0

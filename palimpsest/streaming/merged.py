@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NotSupported
-from ..operators.merge import adapt, overlay_rows, without_keys
+from ..operators.merge import adapt, overlay_keys, without_keys
 from ..session import OverlaySession
 from ..state import DEAD
 
@@ -30,11 +30,10 @@ def read_stream(session: OverlaySession, table: str, *, images: bool = True, **o
         stream = stream.select("*", *[F.col(c).alias(k) for c, k in zip(base.meta.pk, state.key_columns)])
     else:
         stream = stream.select("*", F.col("_metadata.file_path").alias("__k0"), F.col("_metadata.row_index").alias("__k1"))
-    rows = overlay_rows(state)
-    if rows is not None:
-        stream = without_keys(stream, rows.select(*state.key_columns), state.key_columns, state.rows)
+    if state.segments:
+        stream = without_keys(stream, overlay_keys(state), state.key_columns, state.rows, state.null_keys)
     out = adapt(stream, state, False)
-    if rows is None or not images:
+    if not state.segments or not images:
         return out
     whole = session.writer.compact(state)
     changed = session.spark.readStream.schema(whole.segments[0].schema).parquet(whole.paths[0]).filter(~F.col(DEAD)).select(*[f"`{c}`" for c in state.diff.names])

@@ -356,3 +356,16 @@ def test_other_dialects_of_change(db):
     out = s.sql("UPDATE nation SET label = 'q' OUTPUT inserted.n_nationkey WHERE n_nationkey = 3")
     assert [tuple(r) for r in out.collect()] == [(3,)]
     assert [tuple(r) for r in s.sql("DELETE FROM nation OUTPUT deleted.label WHERE n_nationkey = 3").collect()] == [("q",)]
+
+
+def test_null_keys_and_compaction(spark):
+    d = Database(spark)
+    d.register("t", frame=spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "id int, v string"), pk=["id"])
+    s = d.session()
+    for sql in ("UPDATE t SET v = 'x' WHERE v = 'b'", "DELETE FROM t WHERE id = 1", "UPDATE t SET v = 'y' WHERE id = 3", "INSERT INTO t VALUES (4, 'd')", "DELETE FROM t WHERE id = 4", "UPDATE t SET v = 'z' WHERE id = 3"):
+        s.sql(sql)
+    want = [(None, "x"), (3, "z")]
+    assert [tuple(r) for r in s.sql("SELECT id, v FROM t ORDER BY id").collect()] == want
+    d.compact()
+    assert len(d.version.get("t").segments) == 1
+    assert [tuple(r) for r in s.sql("SELECT id, v FROM t ORDER BY id").collect()] == want

@@ -115,6 +115,19 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, span: int, k: int, block_bytes: int) -> list:
+    """A broadcast index of each block of the benchmark, every block within ``block_bytes`` of text."""
+    spark = prepare(docs.sparkSession)
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    total = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
+    n = max(1, -(-int(total) // block_bytes))
+    out = []
+    for b in range(n):
+        block = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b)
+        out.append(spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in block.toLocalIterator()], span, k)))
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = GRAM_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted item ids with a window in it), runs of hit words.
 
@@ -125,17 +138,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: in
     narrow pass over the documents each; documents are never shuffled for one
     block, whatever words are frequent.
     """
-    spark = prepare(docs.sparkSession)
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    n_blocks = max(1, -(-int(total) // block_bytes))
+    indexes = _indexes(docs, benchmark, span, k, block_bytes)
+    n_blocks = len(indexes)
     schema = "doc_id long, n_words long, n_hit long, items array<string>, runs array<struct<from:int,to:int>>"
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     schema = schema.replace("doc_id long", f"doc_id {doc_type}")
     parts = []
-    for b in range(n_blocks):
-        block = rows if n_blocks == 1 else rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == b)
-        index = spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in block.toLocalIterator()], span, k))
+    for b, index in enumerate(indexes):
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
@@ -183,7 +192,17 @@ def digest_items(items) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a hit word, with their own columns, in one narrow pass a block."""
-    leaks = find_leaks(docs, benchmark, **options).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, span: int = SPAN, k: int = GRAM_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a hit word, with all their columns: one narrow filter for each block, nothing is shuffled."""
+    for index in _indexes(docs, benchmark, span, k, block_bytes):
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text"):
+                words = Words(*text_bytes(batch.column("text")))
+                hit, _ = index.value.search(words)
+                leaks = np.zeros(batch.num_rows, bool)
+                leaks[words.doc[hit]] = True
+                yield batch.filter(pa.array(~leaks))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -250,3 +250,21 @@ def identify(docs: DataFrame, model: BiGru | None) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(names), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return rows.mapInArrow(label, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: BiGru | None, min_score: float) -> DataFrame:
+    """The documents, with all their columns, that have a letter and whose best language has at least ``min_score``.
+    One narrow filter; where nothing could be learned no document is kept."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    marked = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        for batch in slices(batches, "text", SLICE_BYTES):
+            letter = batch.column("__letter").to_numpy(zero_copy_only=False)
+            sure = net.pooled(*text_bytes(batch.column("text"))).max(1, initial=0) >= min_score if net is not None else np.zeros(batch.num_rows, bool)
+            yield batch.select(names).filter(pa.array(letter & sure))
+
+    names = docs.columns
+    return marked.mapInArrow(keep, docs.schema)

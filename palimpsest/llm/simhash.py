@@ -28,6 +28,8 @@ SEED = 42
 SHARD_POINTS, LEAF_POINTS = 4_000, 1024
 #: Fingerprints that the driver draws to place the top vantage points, at most.
 SAMPLE_POINTS = 20_000
+#: Identifiers of dropped documents that may be broadcast: a few MB.
+BROADCAST_IDS = 500_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
@@ -212,7 +214,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 3) -> DataFr
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 3) -> DataFrame:
-    """One document of each group stays: the one with the group's least doc_id."""
+    """One document of each group stays: the one with the group's least doc_id. The ids that go are broadcast only
+    if they are counted to be at most ``BROADCAST_IDS``."""
     found = near_duplicates(docs, words=words, bits=bits)
-    losers = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti")
+    losers = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-losers")
+    few = losers.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(losers) if few else losers, "doc_id", "left_anti")

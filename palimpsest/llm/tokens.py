@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
@@ -28,11 +27,10 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh_path, parallelism, prepare, slices, text_bytes
-
-#: Entries a worker's word memo may hold before it starts again.
-MEMO_WORDS = 500_000
+from .common import LOWER, Words, fresh_path, parallelism, prepare, slices, text_bytes
 
+#: Slots of a worker's table of pieces, and ids that it keeps before it starts again.
+SLOTS, KEPT_IDS = 1 << 21, 1 << 23
 
 #: ASCII letters (small) and digits, and ASCII punctuation but the apostrophe.
 _ALNUM, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
@@ -41,15 +39,20 @@ _PUNCT[33:48] = _PUNCT[58:65] = _PUNCT[91:97] = _PUNCT[123:127] = True
 _PUNCT[39] = False
 
 
+_NOT_SPACE = np.ones(256, bool)
+_NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
+
+
 class WordEncoder:
     """Encodes whole texts with the word-level tokenizers file, piece by piece.
 
     That tokenizer ignores case and white space, and no match of its splitting
     pattern goes on from a letter or digit to punctuation other than an
     apostrophe. So a text's ids are those of its pieces between these places,
-    one after the other. Every distinct piece goes through the library once and
-    is then looked up. Texts that may hold special tokens, which do depend on
-    case, are cut at spaces only.
+    one after the other. A distinct piece goes through the library once and is
+    then found by its 64-bit hash in a table of fixed size (two places for
+    each hash); all pieces of a slice are looked up together. Texts that hold
+    ``<|``, where special tokens depend on case, go through the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -59,63 +62,85 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.end = np.array([end_id], self.dtype).tobytes()
-        #: Pieces seen lately, and those of the generation before.
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.hashes, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.ids, self.used = np.zeros(KEPT_IDS, self.dtype), 0
+
+    def _library(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces in one array, and where each piece's begin and how many they are."""
+        texts = [p.decode() for p in pieces]
+        at, size = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        flat: list[np.ndarray] = []
+        used = 0
+        plain = np.array([t.isalpha() for t in texts], bool)
+        other = np.flatnonzero(~plain).tolist()
+        # Pieces of letters alone are one match each: many go through the library as one text.
+        rows = np.flatnonzero(plain)
+        for begin in range(0, len(rows), 1024):
+            some = rows[begin : begin + 1024]
+            e = self.tokenizer.encode(" ".join([texts[i] for i in some.tolist()]), add_special_tokens=False)
+            sizes = np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))
+            if len(sizes) != len(some):  # a letter that lower-cases to something else
+                other += some.tolist()
+                continue
+            at[some], size[some] = used + np.cumsum(sizes) - sizes, sizes
+            flat.append(np.array(e.ids, self.dtype))
+            used += len(flat[-1])
+        for begin in range(0, len(other), 4096):
+            some = other[begin : begin + 4096]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in some], add_special_tokens=False)]
+            sizes = np.array([len(f) for f in found], np.int64)
+            at[some], size[some] = used + np.cumsum(sizes) - sizes, sizes
+            flat.append(np.array([x for f in found for x in f], self.dtype))
+            used += len(flat[-1])
+        return np.concatenate(flat), at, size
+
+    def _find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``self.ids`` the ids of each piece begin, and how many there are."""
+        h = words.hashes()
+        h[h == 0] = 1
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        unsure = np.flatnonzero(self.hashes[slot] != h)
+        second = (h[unsure] >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        slot[unsure] = second
+        missing = unsure[self.hashes[second] != h[unsure]]
+        at, size = self.at[slot], self.size[slot]
+        if len(missing):
+            fresh, first, which = np.unique(h[missing], return_index=True, return_inverse=True)
+            begin, end = words.starts[missing[first]], words.ends[missing[first]]
+            low = words.low.tobytes()
+            ids, places, sizes = self._library([low[a:b] for a, b in zip(begin.tolist(), end.tolist())])
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(len(ids), self.dtype)])
+            places = places + self.used
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            at[missing], size[missing] = places[which], sizes[which]
+            one, two = (fresh & np.uint64(SLOTS - 1)).astype(np.int64), (fresh >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+            put = np.where(self.hashes[one] == 0, one, two)
+            own = len(put) - 1 - np.unique(put[::-1], return_index=True)[1]  # one of several new pieces in a place
+            self.hashes[put[own]], self.at[put[own]], self.size[put[own]] = fresh[own], places[own], sizes[own]
+        return at, size
 
-    def pieces(self, raw: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
-        """Each text's pieces, the whole slice in one pass."""
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each text of a slice, ended by the end id."""
+        if self.used > KEPT_IDS // 4 * 3:
+            self.hashes[:], self.used = 0, 0
+            self.ids = self.ids[:KEPT_IDS]
         low = LOWER[raw]
         edges = np.flatnonzero(_ALNUM[low[:-1]] & _PUNCT[low[1:]]) + 1
-        spaced = np.insert(low, edges, 32).tobytes()
-        at = (offsets + np.searchsorted(edges, offsets, side="left")).tolist()
-        out = [spaced[a:b].split() for a, b in zip(at, at[1:])]
+        words = Words(np.insert(low, edges, 32), offsets + np.searchsorted(edges, offsets, side="left"), _NOT_SPACE)
+        at, size = self._find(words)
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[words.first].tolist()
+        out = [flat[a:b].tobytes() + self.end for a, b in zip(cuts, cuts[1:])]
         if len(raw) > 1 and ((raw[:-1] == 60) & (raw[1:] == 124)).any():  # <|
             whole = raw.tobytes()
             for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
                 if whole.find(b"<|", a, b) >= 0:
-                    out[i] = whole[a:b].split()
+                    out[i] = np.array(self.tokenizer.encode(whole[a:b].decode(), add_special_tokens=False).ids, self.dtype).tobytes() + self.end
         return out
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        memo, code = self.memo, "H" if self.dtype is np.uint16 else "I"
-        # Pieces of letters alone are one match each: many go through the library as one text.
-        plain = [w for w in fresh if w.decode().isalpha()]
-        other = [w for w in fresh if not w.decode().isalpha()]
-        for at in range(0, len(plain), 1024):
-            part = plain[at : at + 1024]
-            e = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            owner = np.array(e.word_ids)
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            if len(cuts) + 1 != len(part):  # a letter that lower-cases to something else
-                other += part
-                continue
-            ids, size = array(code, e.ids).tobytes(), len(self.end)
-            ends = (cuts * size).tolist()
-            for w, a, b in zip(part, [0, *ends], [*ends, len(ids)]):
-                memo[w] = ids[a:b]
-        for at in range(0, len(other), 4096):
-            part = other[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                memo[w] = array(code, e.ids).tobytes()
-
-    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-        """The ids of each text of a slice, ended by the end id."""
-        if len(self.memo) > MEMO_WORDS:
-            self.older, self.memo = self.memo, {}
-        memo = self.memo
-        cut = self.pieces(raw, offsets)
-        fresh = []
-        for w in set().union(*cut).difference(memo):
-            known = self.older.get(w)
-            if known is None:
-                fresh.append(w)
-            else:
-                memo[w] = known
-        self._learn(fresh)
-        get = memo.__getitem__
-        return [b"".join(map(get, p)) + self.end for p in cut]
-
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str, end_id: int) -> WordEncoder:

@@ -31,6 +31,8 @@ from .common import LOWER, Words, fresh_path, parallelism, prepare, slices, text
 
 #: Slots of a worker's table of pieces, and ids that it keeps before it starts again.
 SLOTS, KEPT_IDS = 1 << 21, 1 << 23
+#: Bytes of a piece that its hash tells apart by place; texts with longer pieces go through the library whole.
+LONG_PIECE = 4096
 
 #: ASCII letters (small) and digits, and ASCII punctuation but the apostrophe.
 _ALNUM, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
@@ -52,7 +54,8 @@ class WordEncoder:
     one after the other. A distinct piece goes through the library once and is
     then found by its 64-bit hash in a table of fixed size (two places for
     each hash); all pieces of a slice are looked up together. Texts that hold
-    ``<|``, where special tokens depend on case, go through the library whole.
+    ``<|``, where special tokens depend on case, or very long pieces go through
+    the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -134,10 +137,11 @@ class WordEncoder:
         flat = self.ids[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         cuts = np.concatenate([[0], ends])[words.first].tolist()
         out = [flat[a:b].tobytes() + self.end for a, b in zip(cuts, cuts[1:])]
-        if len(raw) > 1 and ((raw[:-1] == 60) & (raw[1:] == 124)).any():  # <|
+        long = set(words.doc[words.ends - words.starts > LONG_PIECE].tolist())
+        if long or (len(raw) > 1 and ((raw[:-1] == 60) & (raw[1:] == 124)).any()):  # <|
             whole = raw.tobytes()
             for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
-                if whole.find(b"<|", a, b) >= 0:
+                if i in long or whole.find(b"<|", a, b) >= 0:
                     out[i] = np.array(self.tokenizer.encode(whole[a:b].decode(), add_special_tokens=False).ids, self.dtype).tobytes() + self.end
         return out
 

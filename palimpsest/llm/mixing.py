@@ -77,12 +77,16 @@ def mix(docs: DataFrame, *, weights: Mapping[str, float] | None = None, default_
     mix_rank). ``weights`` are relative; sources that it doesn't name have
     ``default_weight``. A null source is a source of its own, named ''. Text
     lengths count in code points plus 1, so null and empty texts count as 1. A
-    document longer than a block starts in one and fills it. Rows that are
-    equal in doc_id and text are ordered beside each other.
+    document longer than a block starts in one and takes the slots of all that
+    it covers, in which no other of its source starts. Documents are not cut:
+    while no source has ended, a source's text after slot t is its share of t
+    blocks within less than one block and its longest document (or run of rows
+    of equal doc_id and text, which are ordered beside each other).
 
     The running sums are taken in chunks of a source's hash order, then over
     the chunks, so a source with a third of all rows is many tasks' work. The
-    driver schedules from counts: at most ``max_blocks`` plus a block for each source.
+    driver schedules from counts: at most ``max_blocks`` plus a block for each
+    source, or, where ``block`` is given, as many as the text has.
     """
     spark = prepare(docs.sparkSession)
     source, size = F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.char_length("text"), F.lit(0)) + 1
@@ -105,16 +109,16 @@ def mix(docs: DataFrame, *, weights: Mapping[str, float] | None = None, default_
     # Equal ranks (equal rows) count once: one place for all of them.
     placed = placed.groupBy("mix_source", "mix_rank").agg(F.min(F.col("base") + F.col("within")).alias("at"))
     placed = materialize(placed.select("mix_source", "mix_rank", F.floor(F.col("at") / unit).cast("long").alias("raw")), "mix-placed")
-    used = placed.groupBy("mix_source", "raw").agg(F.count("*").alias("n"))
-    # Long documents leave block numbers unused; number the used ones.
-    dense = used.withColumn("mix_block", F.row_number().over(Window.partitionBy("mix_source").orderBy("raw")) - 1).select("mix_source", "raw", F.col("mix_block").cast("long").alias("mix_block"))
-    counts = {r["mix_source"]: r["n"] for r in used.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
+    used = placed.select("mix_source", "raw").distinct()
+    # Long documents leave raw numbers in which nothing starts. These take slots like others; mix_block numbers the used ones.
+    dense = used.withColumn("mix_block", (F.row_number().over(Window.partitionBy("mix_source").orderBy("raw")) - 1).cast("long"))
+    counts = {r["mix_source"]: -(-int(r["s"]) // unit) for r in sums.groupBy("mix_source").agg(F.sum("s").alias("s")).collect()}
     given = {s: float((weights or {}).get(s, default_weight)) for s in counts}
     if min(given.values()) <= 0:
         raise ValueError("weights must be above 0")
-    slots = spark.createDataFrame(pfair(counts, given), "mix_source string, mix_block long, mix_slot long, mix_release long, mix_deadline long")
-    # At most max_blocks rows and one for each source: a proven bound.
-    plan = dense.join(F.broadcast(slots) if len(counts) <= max_blocks else slots, ["mix_source", "mix_block"])
+    slots = spark.createDataFrame(pfair(counts, given), "mix_source string, raw long, mix_slot long, mix_release long, mix_deadline long")
+    # At most max_blocks rows and one for each source, unless ``block`` says otherwise.
+    plan = dense.join(F.broadcast(slots) if sum(counts.values()) <= max_blocks + len(counts) else slots, ["mix_source", "raw"])
     where = placed.join(plan, ["mix_source", "raw"]).drop("raw")
     own = [c for c in docs.columns if not c.startswith("mix_")]
     keyed = docs.select(*own, source.alias("mix_source"), rank.alias("mix_rank"))

@@ -2,14 +2,20 @@
 
 A page is read once into blocks: runs of text between block-level tags. Of
 each block and its neighbours the number of words and the share of words in
-links are known, and of the block what encloses it. A decision tree, grown
-here on the labelled blocks of a few small pages, keeps or drops each block.
+links are known, and of the block which elements enclose it. A decision tree,
+grown here on the labelled blocks of a small table of pages, keeps or drops each
+block. Where elements mark the article, the tree uses that; elsewhere words and
+link densities of a block and its neighbours decide. What class names say is
+one feature among the others: it is needed for notices and comments that look
+like the article's own text.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -29,37 +35,75 @@ BLOCK_TAGS = frozenset(
 RAW_TAGS = frozenset("script style noscript template iframe svg math canvas object textarea title noframes audio video".split())
 #: Elements that may enclose blocks and are remembered; fixed values.
 SCOPES = frozenset("article aside body div footer form header main menu nav section ul ol table dl details dialog fieldset select button".split())
-#: Words in class, id or role that name what isn't the article; fixed values.
-BOILER = re.compile(
-    r"(?:^|[\s_-])(ad|ads|advert\w*|adbox|adsbygoogle|banner|outbrain|taboola|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar|side|rail|widget|"
-    r"nav\w*|menu|breadcrumbs?|pagination|pager|toolbar|header|masthead|footer|copyright|legal|disclaimer|share|sharing|social|related|recommend\w*|more|trending|tags?|comments?|commentlist|commentary|replies|reply|disqus|respond|form|search|login|contentinfo|complementary|dialog)(?=$|[\s_-])",
-    re.I,
+#: Elements that hold no article text, lists, and elements of forms; fixed values.
+BESIDE_TAGS, LIST_TAGS, FORM_TAGS = frozenset("nav footer aside menu dialog".split()), frozenset("ul ol menu dl select".split()), frozenset("form select button fieldset".split())
+#: Parts of names that say what isn't the article, what is, where something is, and parts that say nothing; fixed values.
+BOILER_NAMES = frozenset(
+    "ad ads advert advertisement adbox adsbygoogle banner outbrain taboola sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal newsletter subscribe signup sidebar rail widget "
+    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar header masthead footer copyright disclaimer share sharing social related recommended trending "
+    "comment comments commentlist replies reply disqus respond search login contentinfo complementary".split()
 )
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|body|main|text)(?=$|[\s_-])", re.I)
+CONTENT_NAMES = frozenset("article post entry content story body text main".split())
+PLACE_NAMES = frozenset("site page top bottom left right global primary secondary reader readers user users wrap wrapper container area section block box bar list inner outer item items links link form posts stories button buttons widget thread".split())
+STATE_FIRST, STATE_LAST = frozenset("has no is with tag category js format status".split()), frozenset("on off open closed enabled disabled".split())
 
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)|[!?])")
 _ATTR_END = re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_SEPARATOR = re.compile(r"[-_]+")
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=$|[\s=])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
+_RAW_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in RAW_TAGS}
+
+
+@lru_cache(maxsize=4096)
+def name_hint(attributes: str) -> str:
+    """What an element's class, id and role say: ``header``, ``boiler``, ``content`` or nothing.
+
+    A name counts if all its parts are known words and one of them tells; names
+    of states (``has-sidebar``, ``comments-open``, ``tag-politics``) don't count.
+    """
+    hint = ""
+    for token in _HUMP.sub("-", " ".join("".join(g) for g in _NAMES.findall(attributes))).lower().split():
+        parts = [p for p in _SEPARATOR.split(token) if p and not p[0].isdigit()]
+        if not parts or parts[0] in STATE_FIRST or parts[-1] in STATE_LAST or not all(p in BOILER_NAMES or p in CONTENT_NAMES or p in PLACE_NAMES for p in parts):
+            continue
+        telling = [p for p in parts if p in BOILER_NAMES]
+        if telling:
+            hint = "header" if set(telling) <= {"header", "masthead"} and hint != "boiler" else "boiler"
+        elif not hint and any(p in CONTENT_NAMES for p in parts):
+            hint = "content"
+    return hint
 
 
 class Block(NamedTuple):
     text: str
     words: int
     linked: int
-    article: bool
-    boiler: bool
+    inside: _Scope
     heading: bool
-    listed: bool
+
+
+class _Scope(NamedTuple):
+    """What is known of blocks in an element."""
+
+    name: str
+    article: bool = False  # in article or main
+    content: bool = False  # in an element named as content
+    beside: bool = False  # in nav, footer, aside, a page's header, a dialog or a hidden element
+    form: bool = False
+    named: bool = False  # in an element named as boilerplate
+    wrapped: bool = False  # in an article that is itself in such an element
+    listed: bool = False
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order. Unclosed and truncated markup is read as far as it goes."""
+    """The page's blocks in order, in time linear in its length. Unclosed and truncated markup is read as far as it goes."""
     out: list[Block] = []
     held: list[str] = []
     linked: list[str] = []
-    scopes: list[tuple[str, bool, bool]] = []  # name, article, boiler
+    scopes = [_Scope("")]
+    opened: Counter[str] = Counter()
     in_link = heading = 0
     at, n = 0, len(page)
 
@@ -75,8 +119,7 @@ def blocks(page: str) -> list[Block]:
         words = entities.unescape("".join(held)).split()
         if words:
             link_words = len(entities.unescape(" ".join(linked)).split()) if linked else 0
-            article, boiler = (scopes[-1][1], scopes[-1][2]) if scopes else (False, False)
-            out.append(Block(" ".join(words), len(words), min(link_words, len(words)), article, boiler, bool(heading), any(s[0] in ("ul", "ol", "menu", "dl", "select") for s in scopes)))
+            out.append(Block(" ".join(words), len(words), min(link_words, len(words)), scopes[-1], bool(heading)))
         held.clear()
         linked.clear()
 
@@ -115,95 +158,143 @@ def blocks(page: str) -> list[Block]:
         if name in RAW_TAGS and not closing:
             if attributes.endswith("/") and name in ("svg", "math", "iframe", "object"):
                 continue
-            low = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+            over = _RAW_END[name].search(page, at)
             if name in BLOCK_TAGS or name in ("textarea", "iframe", "audio", "video"):
                 close()
-            if not low:
-                at = n
-            else:
-                end = page.find(">", low.end())
-                at = n if end < 0 else end + 1
+            end = page.find(">", over.end()) if over else -1
+            at = n if end < 0 else end + 1
             continue
         if name == "a":
             in_link = 0 if closing else 1
-        elif name in ("br", "wbr", "img", "input"):
-            text(" " if name != "wbr" else "")
+        elif name in ("br", "img", "input"):
+            text(" ")
         if name in BLOCK_TAGS:
             close()
             if name[0] == "h" and name[1:].isdigit():
                 heading = 0 if closing else 1
             elif not closing:
                 heading = 0
-            if name != "a" and (closing or name in ("p", "li", "div", "nav", "article", "footer")):
+            if closing or name in ("p", "li", "div", "nav", "article", "footer"):
                 in_link = 0
-        if name in SCOPES:
-            if closing:
-                for i in range(len(scopes) - 1, -1, -1):
-                    if scopes[i][0] == name:
-                        del scopes[i:]
-                        break
-            else:
-                _, article, boiler = scopes[-1] if scopes else ("", False, False)
-                named = _HUMP.sub("-", " ".join("".join(g) for g in _NAMES.findall(attributes)))
-                names_boiler = BOILER.search(named) if named else None
-                if names_boiler and article and names_boiler.group(1).lower() in ("header", "masthead"):
-                    names_boiler = None  # an article's own heading
-                if name in ("article", "main"):
-                    article = True
-                elif named and CONTENT.search(named) and not names_boiler:
-                    article = True
-                if name in ("nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "fieldset") or (name == "header" and not article):
-                    boiler = True
-                elif names_boiler and name not in ("body", "main"):
-                    boiler = True
-                elif _HIDDEN.search(attributes):
-                    boiler = True
-                scopes.append((name, article, boiler))
+        if name not in SCOPES:
+            continue
+        if not closing:
+            scopes.append(_inside(scopes[-1], name, attributes))
+            opened[name] += 1
+        elif opened[name]:  # what was opened since is closed with it, so each scope is left once
+            while True:
+                gone = scopes.pop().name
+                opened[gone] -= 1
+                if gone == name:
+                    break
     close()
     return out
 
 
-#: Names of the features, in order.
-FEATURES = ("in boilerplate", "beside the article", "in article", "words", "density", "words before", "density before", "words after", "density after", "heading", "in list")
+def _inside(outer: _Scope, name: str, attributes: str) -> _Scope:
+    """The scope that an element opens. The outermost article or main takes back what names and forms around it said."""
+    hint = name_hint(attributes) if "=" in attributes else ""
+    _, article, content, beside, form, named, wrapped, listed = outer
+    if name in ("article", "main"):
+        if not article:
+            article, form, wrapped, named = True, False, wrapped or named, False
+    elif name != "body":
+        if hint == "boiler" or (hint == "header" and not article and not content):
+            named = True
+        elif hint == "content":
+            content = True
+    beside = beside or name in BESIDE_TAGS or (name == "header" and not article and not content) or _HIDDEN.search(attributes) is not None
+    return _Scope(name, article, content, beside, form or name in FORM_TAGS, named, wrapped, listed or name in LIST_TAGS)
+
+
+#: Names of the features, in order: of words and links of a block and its neighbours, of elements, and of class names.
+FEATURES = (
+    "words", "density", "words before", "density before", "words after", "density after",
+    "heading", "in list", "in article", "outside the article", "in an element beside the article",
+    "in named content", "outside the named content", "in named boilerplate",
+)
+NEIGHBOURS, NAMES = slice(2, 6), slice(11, 14)
 
 
 def features(found: list[Block]) -> np.ndarray:
+    """A row for each block of a page. Words count to 200 and, before the first block and after the last, as none."""
     if not found:
         return np.zeros((0, len(FEATURES)))
     words = np.array([b.words for b in found], float)
     density = np.array([b.linked for b in found]) / words
-    article, boiler, heading, listed = np.array([(b.article, b.boiler, b.heading, b.listed) for b in found], float).T
-    beside = (1 - article) * float(any(b.article and not b.boiler for b in found))
+    article, content, beside, form, named, wrapped, listed = np.array([b.inside[1:] for b in found], bool).T
+    heading = np.array([b.heading for b in found], bool)
+    beside = beside | form
+    # An article in an element named as boilerplate is believed, unless the page has one that is not.
+    named = named | (wrapped & (article & ~beside & ~named & ~wrapped).any())
+    outside = ~article & (article & ~beside & ~named).any()
+    unnamed = ~content & (content & ~beside & ~named).any()
     before, after = (lambda x: np.concatenate([[0], x[:-1]])), (lambda x: np.concatenate([x[1:], [0]]))
     w = np.minimum(words, 200)
-    return np.column_stack([boiler, beside, article, w, density, before(w), before(density), after(w), after(density), heading, listed])
+    return np.column_stack([w, density, before(w), before(density), after(w), after(density), heading, listed, article, outside, beside, content, unnamed, named]).astype(float)
 
 
-_W = "the quick story goes on with several plain words in each sentence of it "
-#: Labelled pages: (markup, label of each block in order). 1 keeps, 0 drops. Pages that mark their
-#: article up are also taken with shorter and longer sentences: there, a block's length says nothing.
+#: The labelled pages. A block's text begins with + (kept) or - (dropped). {s}, {m}, {l} and {x} stand for runs of 1 to 3,
+#: 4 to 14, 15 to 60 and 1 to 60 words, {t} for a title, {B}, {C} and {A} for a class name of boilerplate, of content, of any kind.
+_MENU, _ROW = "<li><a>-{s}</a></li><li><a>-{s}</a></li><li><a>-{s}</a></li>", "<a>{s}</a> | <a>{s}</a> | <a>{s}</a>"
 LABELLED = (
-    ("<nav><ul><li><a>home</a></li><li><a>news</a></li></ul></nav><div class=ad>buy now and save</div><article><h1>title words</h1><p>" + _W * 3 + "</p><p>short</p></article><footer>&copy; site</footer>", "000" "111" "0"),
-    ("<header><a>site name</a></header><main><h1>a head line</h1><p>" + _W * 2 + "</p><ul><li>first point made</li><li>second point</li></ul><p>end.</p></main><footer><p>" + _W + "</p></footer>", "0" "11111" "0"),
-    ("<body><div id=menu><a>one</a> <a>two</a> <a>three</a></div><h1>plain page title</h1><p>" + _W * 4 + "</p><p>" + _W * 3 + "</p><div class=sidebar><p>" + _W + "</p></div><p>all rights</p></body>", "0" "111" "0" "0"),
-    ("<div class=cookie-notice>we use cookies on this site <a>accept</a></div><div class=post-content><p>" + _W + "</p><p>yes.</p><p>" + _W * 2 + "</p></div><div class=comments><p>" + _W * 2 + "</p><p>nice post</p></div>", "0" "111" "00"),
-    ("<article><h2>part</h2><p>see <a>this other page about it</a></p><p>" + _W + "</p><aside><p>" + _W * 2 + "</p></aside><form>mail address <button>send</button></form><p>last line here</p></article>", "111" "0" "00" "1"),
-    ("<body><ul><li><a>top</a></li><li><a>world news</a></li><li><a>sport</a></li></ul><p>" + _W * 3 + "</p><p>" + _W * 2 + "<a>link words</a></p><p><a>read more</a> | <a>next</a></p></body>", "000" "11" "0"),
-    ("<p>" + _W * 5 + "</p><p>" + _W * 4 + "</p>", "11"),
-    ("<p>one small page of few words.</p>", "1"),
-    ("<div><a>login</a></div><div><a>register now</a> <a>help</a></div><div>" + _W * 3 + "</div><div>" + _W + "</div><div><a>privacy</a> <a>terms</a></div>", "00" "11" "0"),
-    ("<div><a>a list link of more than five words</a></div><div><a>" + _W + "</a></div><p>" + _W * 3 + "</p><p>" + _W + "<a>one link</a></p><div><a>some other long link to a page</a> and more</div>", "00" "11" "0"),
-    ("<p>" + _W * 2 + "</p><p>" + _W + "</p><div><a>" + _W + "</a></div><div><a>" + _W * 2 + "</a></div>", "11" "00"),
-    ("<article><p>a.</p><p>b c.</p><p>" + _W * 6 + "</p><p>d</p></article><div>" + _W + "</div><div>" + _W * 3 + "</div>", "1111" "00"),
-    ("<div class=related><h3>more stories</h3><a>" + _W + "</a></div><article><ul><li><a>a source of facts</a></li><li>item</li></ul><p>" + _W + "</p></article>", "00" "111"),
-    ("<article><table><tr><td>name</td><td>12</td></tr></table><p>" + _W + "</p></article><footer><ul><li><a>about</a></li><li>contact us at this place</li></ul></footer>", "111" "00"),
-)
+    # The article is marked by an element: lengths say nothing.
+    "<nav><ul>" + _MENU + "</ul></nav><div class={A}>-{x}</div><article><h1>+{t}</h1><p>+{x}</p><p>+{x}</p><p>+{x}</p></article><footer>-{x}</footer>",
+    "<header><a>-{s}</a></header><main><h1>+{t}</h1><p>+{x}</p><ul><li>+{x}</li><li>+{s}</li></ul><p>+{x}</p><aside><p>-{x}</p><a>-{m}</a></aside></main><footer><p>-{x}</p><p><a>-{s}</a></p></footer>",
+    "<article><h2>+{t}</h2><p>+{m} <a>{s}</a></p><p><a>+{m}</a></p><p>+{x}</p><form>-{m}<button>-{s}</button></form><p>+{x}</p><div class={B}><p>-{x}</p><p>-{x}</p></div></article><div>-{x}</div>",
+    "<div>-{x}</div><article><h1>+{t}</h1><p>+{x}</p><ul><li><a>+{s}</a></li><li><a>+{m}</a></li></ul><p>+{x}</p><nav><a>-{s}</a></nav></article><div><p>-{x}</p><p>-{x}</p></div>",
+    "<div class={B}><p>-{x}</p></div><article><table><tr><td>+{s}</td><td>+{s}</td></tr></table><p>+{x}</p><div class={C}><p>+{x}</p></div></article><footer><ul>" + _MENU + "</ul></footer>",
+    "<div class={B}><article><h1>+{t}</h1><p>+{x}</p><p>+{x}</p></article><p>-{x}</p></div>",
+    "<form><article><h1>+{t}</h1><p>+{x}</p><p>+{x}</p></article><input><p>-{s}</p></form>",
+    "<article><h1>+{t}</h1><p>+{x}</p><section class={B}><article><p>-{x}</p></article><article><p>-{x}</p></article></section></article>",
+    "<article><h1>+{t}</h1><p>+{x}</p><p>+{x}</p></article><div class={B}><article><h3>-{t}</h3><p>-{x}</p></article><article><p>-{x}</p></article></div>",
+    # It is marked by a name, or what isn't it is.
+    "<div class={B}>-{x} <a>{s}</a></div><div class={C}><h1>+{t}</h1><p>+{x}</p><p>+{x}</p><ul><li>+{x}</li></ul></div><div class={B}><p>-{x}</p><p>-{x}</p></div>",
+    "<div>-{x}</div><div class={C}><h1>+{t}</h1><p>+{x}</p><p><a>+{m}</a></p><div class={B}><p>-{x}</p></div><p>+{x}</p></div><div>-{x}</div><div>-" + _ROW + "</div>",
+    "<div class={B}>-" + _ROW + "</div><h1>+{t}</h1><p>+{l}</p><p>+{m}</p><p>+{l}</p><div class={B}><p>-{l}</p></div><div class={B}><h3>-{t}</h3><p>-{x}</p></div>",
+    "<div class={B}><p>-{x}</p></div><p>+{l}</p><p>+{l}</p><p>+{s}</p><p>+{l}</p><div class={B}>-{x}</div>",
+    # Nothing is marked: words and links of blocks and their neighbours tell.
+    "<div>-" + _ROW + "</div><h1>+{t}</h1><p>+{l}</p><p>+{l}</p><p>+{m}</p><p>+{l}</p><div>-{s} <a>{m}</a></div><div>-" + _ROW + "</div>",
+    "<ul>" + _MENU + "</ul><div>-{m}</div><h1>+{t}</h1><p>+{l}</p><p>+{s}</p><p>+{l}</p><p>+{l}</p><ul>" + _MENU + "</ul><div>-{m}</div>",
+    "<ul>" + _MENU + "</ul><h1>+{t}</h1><p>+{l}</p><p>+{m}</p><p>+{l}</p><ul>" + _MENU + "</ul>",
+    "<div><a>-{s}</a></div><div><a>-{m}</a> <a>{s}</a></div><h2>+{t}</h2><div>+{l}</div><div>+{l}</div><h2>+{t}</h2><div>+{l}</div><div><a>-{m}</a></div><div>-{s}</div>",
+    "<div><a>-{s}</a></div><div><a>-{m}</a> <a>{s}</a></div><div>+{l}</div><div>+{l}</div><div>+{m}</div><div>+{l}</div><div><a>-{s}</a> <a>{s}</a></div><div>-{s}</div>",
+    "<div><a>-{m}</a></div><div><a>-{l}</a></div><p>+{l}</p><p>+{l}<a>{s}</a></p><p>+{l}</p><div><a>-{l}</a> {s}</div><div><a>-{l}</a></div>",
+    "<ul>" + _MENU + "</ul><p>+{l}</p><p>+{l}<a>{s}</a></p><p>+{l}</p><p>-<a>{m}</a> {s} <a>{s}</a></p>",
+    "<h1>+{t}</h1><p>+{l}</p><p>+{l}</p><p>+{x}</p><p>+{l}</p>",
+    "<p>+{l}</p><p>+{x}</p>", "<p>+{x}</p>", "<h1>+{t}</h1><p>+{x}</p>",
+    "<p>+{l}</p><p><a>+{m}</a></p><p>+{l}</p><p>+{l}</p>",
+)
+#: Runs of words that each page is taken with.
+VARIANTS = 24
+_RUNS = {"s": (1, 3), "m": (4, 14), "l": (15, 60), "x": (1, 60), "t": (3, 12)}
+
+
+def labelled(pages: tuple[str, ...] = LABELLED, variants: int = VARIANTS, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of the labelled pages, each page taken with several runs of words."""
+    rng = random.Random(seed)
+    boiler, content = sorted(BOILER_NAMES - {"header", "masthead"}), sorted(CONTENT_NAMES)
+
+    def fill(m: re.Match) -> str:
+        kind = m.group(1)
+        if kind in _RUNS:
+            return " ".join(["word"] * rng.randint(*_RUNS[kind]))
+        return rng.choice({"B": boiler, "C": content, "A": [*boiler, *["c1", "x", "row"] * 20]}[kind])
+
+    xs, ys = [], []
+    for page in pages:
+        for _ in range(variants):
+            found = blocks(re.sub(r"\{(\w)\}", fill, page))
+            xs.append(features(found))
+            ys += [b.text[0] == "+" for b in found]
+    return np.concatenate(xs), np.array(ys, float)
 
 
 class Tree:
-    """A binary decision tree grown by Gini impurity."""
+    """A binary decision tree grown by Gini impurity; leaves hold ``least`` blocks or more."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 3):
+        self.least = least
         self.root = self._grow(x, y, depth)
 
     def _grow(self, x: np.ndarray, y: np.ndarray, depth: int):
@@ -212,25 +303,29 @@ class Tree:
             return share >= 0.5
         best = None
         for f in range(x.shape[1]):
-            values = np.unique(x[:, f])
-            for cut in (values[1:] + values[:-1]) / 2:
-                low = y[x[:, f] < cut]
-                high = y[x[:, f] >= cut]
-                gini = sum(len(p) * 2 * p.mean() * (1 - p.mean()) for p in (low, high))
-                if best is None or gini < best[0] - 1e-9:
-                    best = (gini, f, cut)
+            order = np.argsort(x[:, f], kind="stable")
+            v, kept = x[order, f], np.cumsum(y[order])
+            at = np.flatnonzero(v[1:] > v[:-1]) + 1  # rows below the cut
+            at = at[(at >= self.least) & (at <= len(y) - self.least)]
+            if len(at):
+                low = kept[at - 1]
+                high = kept[-1] - low
+                gini = low * (at - low) / at + high * (len(y) - at - high) / (len(y) - at)
+                i = int(np.argmin(gini))
+                if best is None or gini[i] < best[0] - 1e-9:
+                    best = (gini[i], f, (v[at[i]] + v[at[i] - 1]) / 2)
         if best is None:
             return share >= 0.5
         _, f, cut = best
         low = x[:, f] < cut
-        return f, cut, self._grow(x[low], y[low], depth - 1), self._grow(x[~low], y[~low], depth - 1)
+        return f, float(cut), self._grow(x[low], y[low], depth - 1), self._grow(x[~low], y[~low], depth - 1)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), bool)
         stack = [(self.root, np.arange(len(x)))]
         while stack:
             node, rows = stack.pop()
-            if isinstance(node, bool | np.bool_):
+            if isinstance(node, bool):
                 out[rows] = node
             elif len(rows):
                 f, cut, low, high = node
@@ -241,31 +336,29 @@ class Tree:
 
 @lru_cache(maxsize=1)
 def tree() -> Tree:
-    xs, ys = [], []
-    varied = [(m.replace(_W, w), labels) for m, labels in LABELLED for w in ((_W,) if not re.search("<article|<main|content", m) else ("one ", "a few words ", _W, _W * 3, _W * 12))]
-    for markup, labels in varied:
-        found = blocks(markup)
-        if len(found) != len(labels):
-            raise ValueError(f"{len(found)} blocks, {len(labels)} labels: {[b.text[:20] for b in found]}")
-        xs.append(features(found))
-        ys += [c == "1" for c in labels]
-    return Tree(np.concatenate(xs), np.array(ys, float))
+    return Tree(*labelled())
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, grown: Tree | None = None) -> str:
     found = blocks(page or "")
-    keep = tree().predict(features(found))
+    keep = (grown or tree()).predict(features(found))
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text (empty if none), n_chars (code points). Null html is empty.
-    One narrow pass; repeated page_ids give a row each."""
+    """Per page: page_id, url, text (empty if none), n_chars (code points).
+
+    Null html is empty, and so is the text of an empty page. Pages of any length
+    are read whole, in time linear in it. Repeated page_ids and equal pages give
+    a row each; an empty table gives none; other columns are ignored. One narrow
+    pass: the tree is grown once in the driver and goes with the tasks.
+    """
     prepare(pages.sparkSession)
+    grown = tree()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            texts = [main_text(p) for p in batch.column("html").to_pylist()]
+            texts = [main_text(p, grown) for p in batch.column("html").to_pylist()]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

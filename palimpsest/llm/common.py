@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -93,10 +94,15 @@ WORD_BYTES[48:58] = WORD_BYTES[97:123] = WORD_BYTES[128:] = True
 
 _MIX = U64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240501)
-#: Random odd weights: of the bytes of a word by place, of bytes, of words in a gram.
+#: Random odd weights: of the bytes of a word by place, of bytes.
 PLACE = _rng.integers(0, 2**63, 4096, dtype=np.uint64) * U64(2) + U64(1)
 BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-GRAM = _rng.integers(0, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
+
+
+@lru_cache(maxsize=64)
+def gram_weights(n: int) -> np.ndarray:
+    """A random odd weight for each word of a gram of n words."""
+    return np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -151,7 +157,7 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     m = len(words) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    h = words[:m] * GRAM[0]
-    for j in range(1, n):
-        h = h + words[j : j + m] * GRAM[j]
+    h = np.zeros(m, np.uint64)
+    for j, weight in enumerate(gram_weights(n)):
+        h += words[j : j + m] * weight
     return mixed(h + U64(n))

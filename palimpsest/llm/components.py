@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, component) for the nodes of ``edges(a, b)``; component is the least node reachable.
 
     Each round replaces edges by stars, whose rows never exceed the edges plus
-    the nodes; rounds grow with the logarithm of the longest chain. Every round
-    is a reliable checkpoint, so a lost executor costs that round alone, and
-    nothing is collected but one count.
+    the nodes; rounds grow with the logarithm of the longest chain and go on
+    until one changes nothing, however many that takes. Every round is a
+    reliable checkpoint, so a lost executor costs that round alone, and nothing
+    is collected but one count. An empty table gives no rows; repeated edges and
+    loops change nothing.
     """
     prepare(edges.sparkSession)
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     last = signature(now)
     if not last[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(ROUNDS):
+    while True:
         # Large star: each node's larger neighbours link to the least of its neighbours and itself.
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -5,12 +5,14 @@ ones are dealt to shards by the top of a vantage-point tree: at each node the
 Hamming distance to the vantage point is compared with the node's radius, and
 by the triangle inequality only points outside the ball, but within ``bits`` of
 its edge, can have a neighbour on both sides; these go to both. By induction
-every pair within ``bits`` shares a shard. Each shard goes on with the same
-split in memory and compares all in its leaves, so the pairs are exact.
+every pair within ``bits`` shares a shard. Shards that are still large get a
+tree of their own, grown from their own points. Each shard goes on with the
+same split in memory and compares all in its leaves, so the pairs are exact.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,20 +21,48 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialize, parallelism, prepare, slices
+from .common import materialize, prepare, slices
 from .components import components
 
 SEED = 42
 #: Distinct fingerprints aimed at in one shard, and in one leaf of its tree.
 SHARD_POINTS, LEAF_POINTS = 4_000, 1024
-#: Fingerprints that the driver draws to place the top vantage points, at most.
-SAMPLE_POINTS = 20_000
+#: Leaves of one tree of vantage points, at most, and fingerprints that are drawn to place its points, for each leaf.
+TOP_LEAVES, SAMPLE_PER_LEAF = 1024, 64
 #: Identifiers of dropped documents that may be broadcast: a few MB.
 BROADCAST_IDS = 500_000
+#: Bytes of a text that are cut into shingles at once.
+PIECE_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\t-\r ]")
+#: A node of a tree of vantage points, as stored.
+NODE = np.dtype([("vantage", "u8"), ("radius", "i8"), ("inner", "i8"), ("outer", "i8")])
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
+def shingles(text: bytes | None, words: int) -> Iterator[list[int]]:
+    """Hashes of a text's shingles, repeats included, in lists of bounded length: one for each piece of the text,
+    at least one, which is empty for a text without words."""
+    text, at, held, short = text or b"", 0, [], True
+    while True:
+        # A piece goes on to the end of its last word, and begins with the words that shingles share with it.
+        space = _SPACE.search(text, at + PIECE_BYTES)
+        end = space.start() if space else len(text)
+        tokens = held + text[at:end].lower().split()
+        at, n = end, len(tokens)
+        if n >= words:
+            line = b" ".join(tokens)
+            spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist()
+            yield [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip([0, *(s + 1 for s in spaces)], [*spaces[words - 1 :], len(line)])]
+            short, tokens = False, tokens[n - words + 1 :]
+        held = tokens
+        if space is None:
+            break
+    if short:
+        yield [xxhash.xxh64_intdigest(b" ".join(held), SEED)] if held else []
+
+
 def fingerprints(docs: DataFrame, *, words: int = 3) -> DataFrame:
     """Per document: doc_id, fp (long, the 64 bits). Texts without words have 0, null ones too.
 
@@ -43,28 +73,37 @@ def fingerprints(docs: DataFrame, *, words: int = 3) -> DataFrame:
     prepare(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in slices(batches, "text"):
             hashes: list[int] = []
             counts = []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                tokens = (text or b"").lower().split()
-                n = len(tokens)
-                if n <= words:
-                    got = [digest(b" ".join(tokens), SEED)] if n else []
+            long = {}
+            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+                pieces = shingles(text, words)
+                if text is not None and len(text) > PIECE_BYTES:
+                    long[i], got = _majority_of(pieces), []
                 else:
-                    line = b" ".join(tokens)
-                    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32).tolist()
-                    starts = [0, *(s + 1 for s in spaces)][: n - words + 1]
-                    ends = [*spaces[words - 1 :], len(line)]
-                    got = [digest(line[a:b], SEED) for a, b in zip(starts, ends)]
+                    got = next(pieces)
                 hashes += got
                 counts.append(len(got))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(_majority(np.array(hashes, np.uint64), np.array(counts)).view(np.int64))], names=["doc_id", "fp"])
+            prints = _majority(np.array(hashes, np.uint64), np.array(counts))
+            for i, fp in long.items():
+                prints[i] = fp
+            yield pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(compute, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def _majority_of(pieces: Iterator[list[int]]) -> int:
+    """The fingerprint of one long text, whose hashes come in pieces."""
+    seen, total = np.zeros((8, 256)), 0
+    for hashes in pieces:
+        parts = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
+        seen += [np.bincount(parts[:, byte], minlength=256) for byte in range(8)]
+        total += len(hashes)
+    bits = 2 * (seen @ _BITS) > total
+    return sum(1 << (8 * byte + i) for byte, i in zip(*(x.tolist() for x in np.nonzero(bits))))
+
+
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The bits set in over half of each group's hashes, by byte histograms."""
     out = np.zeros(len(counts), np.uint64)
@@ -139,9 +178,7 @@ def route(points: np.ndarray, nodes: list[tuple], bits: int) -> tuple[np.ndarray
 def links(points: np.ndarray, bits: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (as index pairs) of the graph that joins points within ``bits``."""
     rng = np.random.default_rng(seed)
-    label = np.arange(len(points))
-    edges_a: list[int] = []
-    edges_b: list[int] = []
+    forest = _Forest(len(points))
     stack = [np.arange(len(points))]
     while stack:
         idx = stack.pop()
@@ -154,69 +191,118 @@ def links(points: np.ndarray, bits: int, seed: int = 9) -> tuple[np.ndarray, np.
         step = max(1, 4_000_000 // max(1, len(idx)))
         for at in range(0, len(idx), step):
             near = np.bitwise_count(mine[at : at + step, None] ^ mine[None, at:]) <= bits
-            for row in np.flatnonzero(near.sum(1) > 1):
-                others = idx[at + np.flatnonzero(near[row])]
-                own = idx[at + row]
-                labels = label[others]
-                for k in np.unique(labels[labels != label[own]]):
-                    other = others[np.argmax(labels == k)]
-                    edges_a.append(int(own))
-                    edges_b.append(int(other))
-                    label[label == k] = label[own]
-    return np.array(edges_a, np.int64), np.array(edges_b, np.int64)
+            a, b = np.nonzero(near)
+            forest.join(idx[at + a[a < b]], idx[at + b[a < b]])
+    return forest.edges()
+
+
+class _Forest:
+    """Components of points as their least index, and the edges that made them."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Every round hangs each root that meets a lesser one under the least of these, by one edge."""
+        while True:
+            apart = self.label[a] != self.label[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                return
+            low, high = np.minimum(self.label[a], self.label[b]), np.maximum(self.label[a], self.label[b])
+            order = np.lexsort((low, high))
+            one = order[np.flatnonzero(np.diff(high[order], prepend=-1))]
+            self.kept.append((a[one], b[one]))
+            root = np.arange(len(self.label))
+            root[high[one]] = low[one]
+            while not (root[root] == root).all():
+                root = root[root]
+            self.label = root[self.label]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.kept:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = zip(*self.kept)
+        return np.concatenate(a), np.concatenate(b)
+
+
+def _deal(points: DataFrame, trees: dict[int, list[tuple]], bits: int) -> DataFrame:
+    """``points(shard, fp)`` dealt on by the tree of their shard; shards without one stay. Numbers of new shards differ from all old ones."""
+    shared = points.sparkSession.sparkContext.broadcast(trees)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, fp = batch.column("shard").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+            out_s, out_f = [], []
+            for s in np.unique(shard):
+                mine = fp[shard == s]
+                rows, leaf = route(mine, shared.value.get(int(s), []), bits)
+                out_s.append(int(s) * TOP_LEAVES + leaf)
+                out_f.append(mine[rows].view(np.int64))
+            if out_s:
+                yield pa.record_batch([pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_f))], names=["shard", "fp"])
 
+    return points.mapInArrow(deal, "shard long, fp long")
 
-def near_links(distinct: DataFrame, *, bits: int = 3) -> DataFrame:
-    """Edges (a, b) between the ids of ``distinct(fp, id)`` that connect all pairs of fingerprints within ``bits``.
+
+def near_links(distinct: DataFrame, *, bits: int = 3, shard_points: int = SHARD_POINTS, top_leaves: int = TOP_LEAVES) -> DataFrame:
+    """Edges (a, b) between fingerprints of ``distinct(fp)`` that connect all pairs within ``bits``.
 
     Only a spanning forest of each shard is returned, so a group of many near
     copies gives as many edges as members, not their pairs; its components are
-    those of the exact pairs.
+    those of the exact pairs. The driver draws a bounded sample and places
+    ``top_leaves`` shards at most. Where that leaves shards far over
+    ``shard_points``, each of these draws its own sample and is dealt on, by
+    trees that the executors grow: ``top_leaves`` squared shards in all, which
+    is enough for some billions of distinct fingerprints.
     """
-    spark = prepare(distinct.sparkSession)
+    prepare(distinct.sparkSession)
     n = distinct.count()
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_POINTS).collect() if n > 1 else []
-    shards = max(1, min(4096, 2 * n // SHARD_POINTS, len(sample) // 16))
-    nodes = top_tree(np.array([r[0] for r in sample], np.int64).view(np.uint64), shards, bits) if shards > 1 else []
-    shared = spark.sparkContext.broadcast(nodes)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            rows, shard = route(fp, shared.value, bits)
-            taken = batch.take(pa.array(rows))
-            yield pa.record_batch([pa.array(shard, pa.int64()), taken.column("fp"), taken.column("id")], names=["shard", "fp", "id"])
-
-    kind = distinct.schema["id"].dataType.simpleString()
-    dealt = distinct.select("fp", "id").mapInArrow(deal, f"shard long, fp long, id {kind}")
+    points = distinct.select(F.lit(0).cast("long").alias("shard"), "fp")
+    wanted = max(1, 2 * n // shard_points)
+    leaves = min(top_leaves, wanted)
+    if leaves > 1:
+        sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_PER_LEAF * leaves).collect()
+        points = _deal(points, {0: top_tree(np.array([r[0] for r in sample], np.int64).view(np.uint64), leaves, bits)}, bits)
+    if wanted > top_leaves:
+        points = materialize(points, "simhash-shards")
+        # A tree for each large shard, of which there are top_leaves at most, from as many points as its leaves need.
+        large = points.groupBy("shard").count().filter(F.col("count") > 4 * shard_points)
+        large = large.select("shard", F.least(F.lit(top_leaves), F.floor(2 * F.col("count") / shard_points)).cast("long").alias("leaves"))
+        few = F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < (1 << 20) * min(1.0, 4 * SAMPLE_PER_LEAF / shard_points)
+        rank = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64("fp")))
+        drawn = points.filter(few).join(F.broadcast(large), "shard").withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_PER_LEAF * F.col("leaves"))
+
+        def grow(group: pd.DataFrame) -> pd.DataFrame:
+            tree = top_tree(group["fp"].to_numpy(np.int64).view(np.uint64), int(group["leaves"].iloc[0]), bits)
+            return pd.DataFrame({"shard": group["shard"].iloc[:1], "tree": [np.array(tree, NODE).tobytes()]})
+
+        grown = drawn.groupBy("shard").applyInPandas(grow, "shard long, tree binary")
+        points = _deal(points, {r["shard"]: np.frombuffer(bytes(r["tree"]), NODE).tolist() for r in grown.toLocalIterator()}, bits)
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = links(group["fp"].to_numpy(np.int64).view(np.uint64), bits)
-        ids = group["id"].to_numpy()
-        return pd.DataFrame({"a": ids[a], "b": ids[b]})
+        fp = group["fp"].to_numpy(np.int64)
+        a, b = links(fp.view(np.uint64), bits)
+        return pd.DataFrame({"a": fp[a], "b": fp[b]})
 
-    return dealt.groupBy("shard").applyInPandas(join, f"a {kind}, b {kind}")
+    return points.groupBy("shard").applyInPandas(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 3, **sizes: int) -> DataFrame:
     """Per document: doc_id, fp, fingerprint (16 hex digits), component_id (least doc_id reachable).
 
-    Fingerprints link at ``bits`` or fewer differing bits. An empty table gives
-    no rows; repeated doc_ids give a row each; a null doc_id has its component
-    from the others. Extra columns of ``docs`` are ignored.
+    Fingerprints link at ``bits`` or fewer differing bits, whatever doc_ids they
+    have: a null doc_id has its component from the others, null where all are.
+    Null and empty texts have fingerprint 0. An empty table gives no rows;
+    repeated doc_ids and rows give a row each. Other columns are ignored.
     """
     prints = materialize(fingerprints(docs, words=words), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    parts = components(near_links(distinct.filter("id is not null"), bits=bits))
+    parts = materialize(components(near_links(distinct, bits=bits, **sizes)), "simhash-parts")
     # Few fingerprints have a component beyond their own copies; all others keep their least doc_id.
-    owner = distinct.join(parts.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    linked = parts.withColumnRenamed("node", "fp").join(distinct, "fp")
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    owner = distinct.join(linked.select("fp", "component").join(least, "component").select("fp", "component", "least"), "fp", "left")
+    owner = owner.select("fp", F.when(F.col("component").isNotNull(), F.col("least")).otherwise(F.col("id")).alias("component_id"))
     return prints.join(owner, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, *, words: int = 3, bits: int = 3) -> DataFrame:
-    """One document of each group stays: the one with the group's least doc_id. The ids that go are broadcast only
-    if they are counted to be at most ``BROADCAST_IDS``."""
-    found = near_duplicates(docs, words=words, bits=bits)
-    losers = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-losers")
-    few = losers.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(losers) if few else losers, "doc_id", "left_anti")

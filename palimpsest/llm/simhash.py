@@ -178,7 +178,7 @@ def route(points: np.ndarray, nodes: list[tuple], bits: int) -> tuple[np.ndarray
 def links(points: np.ndarray, bits: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (as index pairs) of the graph that joins points within ``bits``."""
     rng = np.random.default_rng(seed)
-    forest = _Forest(len(points))
+    forest = Forest(len(points))
     stack = [np.arange(len(points))]
     while stack:
         idx = stack.pop()
@@ -196,7 +196,7 @@ def links(points: np.ndarray, bits: int, seed: int = 9) -> tuple[np.ndarray, np.
     return forest.edges()
 
 
-class _Forest:
+class Forest:
     """Components of points as their least index, and the edges that made them."""
 
     def __init__(self, n: int):

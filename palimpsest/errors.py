@@ -27,6 +27,20 @@ class UniqueViolation(OverlayError):
     sqlstate = "23505"
 
 
+class NotNullViolation(OverlayError):
+    sqlstate = "23502"
+
+
+class CheckViolation(OverlayError):
+    sqlstate = "23514"
+
+
+class CardinalityViolation(OverlayError):
+    """Several source rows for one row that a MERGE changes."""
+
+    sqlstate = "21000"
+
+
 class ForeignKeyViolation(OverlayError):
     sqlstate = "23503"
 

@@ -2,8 +2,9 @@
 
 Every write evaluates its rows once over the merged relation and stores them as
 one more segment: full row images, or tombstones that keep the last image.
-Base files are never touched, and no write rewrites what is there already;
-after a few segments they are compacted into one.
+Base files are never touched. When the newest segments are as many rows as the
+one before them, they are made one with it, so there are few segments and each
+row is rewritten as often as the logarithm of their number.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..errors import NotSupported, UniqueViolation, UnknownColumn, UnknownTable
+from ..errors import CheckViolation, NotNullViolation, NotSupported, UniqueViolation, UnknownColumn, UnknownTable
+from ..plans.dialect import rewrite
 from ..sources.catalog import Catalog
 from ..sources.store import Store
 from ..state import DEAD, TableState, Version
 from . import fk
 from .merge import key_expressions, merged, overlay_rows, without_keys
 
-#: Segments of a table before they are made one.
+#: Segments of a table before the newest are made one.
 MAX_SEGMENTS = 4
 
 
@@ -47,13 +50,42 @@ class Writer:
             null_keys=state.null_keys or n["nulls"] > 0,
             segments=(*state.segments, frame), paths=(*state.paths, path), rows=state.rows + n["n"], tombstones=state.tombstones + n["dead"], inserts=state.inserts + (n["n"] if inserts else 0)
         )
+        after = replace(after, sizes=(*after.sizes, (n["n"], n["dead"])))
         if len(after.segments) > MAX_SEGMENTS:
-            after = self.compact(after)
+            # From the newest back, as long as what is older isn't larger than what is put to it.
+            first, held = len(after.sizes) - 1, after.sizes[-1][0]
+            while first and after.sizes[first - 1][0] <= 2 * held:
+                first -= 1
+                held += after.sizes[first][0]
+            first = min(first, len(after.sizes) - 2)
+            after = self.compact(after, first)
         return after, frame, n["n"]
 
-    def compact(self, state: TableState) -> TableState:
-        frame, path, n = self.store.write(overlay_rows(state), state.name, dead=F.sum(F.col(DEAD).cast("long")))
-        return replace(state, segments=(frame,), paths=(path,), rows=n["n"], tombstones=n["dead"])
+    def compact(self, state: TableState, first: int = 0) -> TableState:
+        """Make the segments from ``first`` on one."""
+        newest = replace(state, segments=state.segments[first:], rows=sum(n for n, _ in state.sizes[first:]))
+        frame, path, n = self.store.write(overlay_rows(newest), state.name, dead=F.sum(F.col(DEAD).cast("long")))
+        sizes = (*state.sizes[:first], (n["n"], n["dead"]))
+        return replace(state, segments=(*state.segments[:first], frame), paths=(*state.paths[:first], path), sizes=sizes, rows=sum(n for n, _ in sizes), tombstones=sum(d for _, d in sizes))
+
+    def check(self, version: Version, state: TableState, rows: DataFrame, columns: set[str] | None = None) -> None:
+        """NOT NULL, CHECK, UNIQUE and foreign keys of rows just written; ``columns`` are those that changed, None for all."""
+        meta = state.meta
+        tests = [(NotNullViolation, f"{state.name}.{c} is null", F.col(f"`{c}`").isNull()) for c in dict.fromkeys((*meta.pk, *meta.not_null)) if columns is None or c in columns]
+        tests += [(CheckViolation, f"{state.name}: {n or k} does not hold", ~F.coalesce(F.expr(rewrite(k)).cast("boolean"), F.lit(True))) for n, k in meta.checks]
+        if tests:
+            found = rows.select(F.array(*[t for _, _, t in tests]).alias("t")).filter(F.exists("t", lambda x: x)).first()
+            if found is not None:
+                kind, text, _ = tests[found["t"].index(True)]
+                raise kind(text)
+        for name, on in meta.uniques:
+            if columns is None or columns & set(on):
+                cols = [f"`{c}`" for c in on]
+                new = rows.select(*cols).dropna().distinct()
+                twice = self.merged(state).select(*cols).join(new, list(on), "left_semi").groupBy(*cols).count().filter("count > 1").first()
+                if twice is not None:
+                    raise UniqueViolation(f"{state.name}: {name} {dict(zip(on, twice))} exists already")
+        fk.check_rows(self, version, state, rows, columns)
 
     # -- insert ---------------------------------------------------------------------------
 
@@ -84,11 +116,16 @@ class Writer:
             return rows.select(*key_expressions(state), "*")
         return rows.select(F.lit(f"+{uuid.uuid4().hex}").alias("__k0"), F.monotonically_increasing_id().alias("__k1"), "*")
 
-    def _number(self, state: TableState, rows: DataFrame):
-        """New ids start far above the base's and go on without gaps, whatever partition a row is in."""
+    def with_next_id(self, state: TableState) -> TableState:
+        """New ids start far above the base's."""
         if state.next_id is None:
             top = self.merged(state).agg(F.max(state.meta.pk[0]).cast("long")).first()[0] or 0
             state = replace(state, next_id=max(10 * top, top + 10_000_000))
+        return state
+
+    def _number(self, state: TableState, rows: DataFrame):
+        """New ids go on without gaps, whatever partition a row is in."""
+        state = self.with_next_id(state)
         frame, _, n = self.store.write(rows.withColumn("__m", F.monotonically_increasing_id()), f"{state.name}-new")
         per = frame.groupBy(F.shiftright("__m", 33).alias("__p")).count().orderBy("__p").collect()
         base, offsets = state.next_id, []
@@ -106,8 +143,14 @@ class Writer:
         """``on_conflict``: error, ignore (keep what is there) or replace (delete it first)."""
         state, rows = self.prepare(state, source, columns)
         on = list(conflict) or list(state.meta.pk)
+        if on_conflict == "ignore" and not conflict:
+            # Without a target every unique constraint counts.
+            for _, more in state.meta.uniques:
+                rows, _, _ = self.store.write(rows.withColumn("__order", F.monotonically_increasing_id()), f"{state.name}-rows")
+                taken = self.merged(state).select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(more)])
+                rows = self._one_of(rows, more, False).join(taken, [F.col(f"`{c}`") == F.col(f"__c{i}") for i, c in enumerate(more)], "left_anti")
         if on:
-            rows, _, _ = self.store.write(rows, f"{state.name}-rows")
+            rows, _, _ = self.store.write(rows.withColumn("__order", F.monotonically_increasing_id()), f"{state.name}-rows")
             there = self.merged(state, keys=True)
             same = [F.col(f"`{c}`") == F.col(f"__c{i}") for i, c in enumerate(on)]
             keys = rows.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(on)])
@@ -120,22 +163,30 @@ class Writer:
                 if taken is not None:
                     raise UniqueViolation(f"{state.name}: {dict(zip(on, taken))} exists already")
             elif on_conflict == "ignore":
-                rows = rows.dropDuplicates(on).join(there.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(on)]), condition, "left_anti")
+                rows = self._one_of(rows, on, False).join(there.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(on)]), condition, "left_anti")
             else:
-                rows = rows.dropDuplicates(on)
+                rows = self._one_of(rows, on, True)
                 gone = there.join(keys, condition, "left_semi")
                 fresh = without_keys(gone, rows.select(*state.key_columns), state.key_columns, None).withColumn(DEAD, F.lit(True))
                 after, images, n = self.apply(state, rows.withColumn(DEAD, F.lit(False)).unionByName(fresh))
                 version = version.put(after)
                 alive = images.filter(~F.col(DEAD))
-                fk.check_rows(self, version, after, alive)
+                self.check(version, after, alive)
                 return version, alive, alive.count()
+            rows = rows.drop("__order")
         after, images, n = self.apply(state, rows.withColumn(DEAD, F.lit(False)), inserts=True)
         version = version.put(after)
         if n:
-            fk.check_rows(self, version, after, images)
+            self.check(version, after, images)
         return version, images, n
 
+    def _one_of(self, rows: DataFrame, on: Sequence[str], last: bool) -> DataFrame:
+        """Of new rows with equal values in ``on``, the first or the last given; a null equals nothing."""
+        order = F.col("__order").desc() if last else F.col("__order").asc()
+        rank = F.row_number().over(Window.partitionBy(*[F.col(f"`{c}`") for c in on]).orderBy(order))
+        some_null = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in on])
+        return rows.withColumn("__rank", rank).filter((F.col("__rank") == 1) | some_null).drop("__rank", "__order")
+
     # -- update and delete ------------------------------------------------------------------
 
     def candidates(self, version: Version, state: TableState, alias: str, tail: str, where: str, extra: str = "") -> DataFrame:
@@ -185,10 +236,10 @@ class Writer:
             return version, frame, 0
         version = version.put(after)
         alive = frame.filter(~F.col(DEAD))
-        fk.check_rows(self, version, after, alive, changed)
+        self.check(version, after, alive, changed)
         if any(changed & set(k.parent_columns) for _, k in fk.children_of(version, state.name)):
-            old_rows = self.merged(before)
-            fk.check_update(self, version, after, changed, old_rows)
+            # Old values of the changed rows alone: no other key can be gone.
+            fk.check_update(self, version, after, changed, rows.select(*[f"`{n}`" for n in state.diff.names]))
         return version, alive, n if after is not before and not (changed & set(state.meta.pk)) else alive.count()
 
     def delete(self, version: Version, state: TableState, where: str, alias: str = "", tail: str = "", rows: DataFrame | None = None) -> tuple[Version, DataFrame, int]:
@@ -210,12 +261,17 @@ class Writer:
         rows, _, _ = self.store.write(rows, f"{state.name}-excluded")
         if rows.groupBy(*[f"`{c}`" for c in on]).count().filter("count > 1").first() is not None:
             raise UniqueViolation("ON CONFLICT can't change a row twice")
-        rows.select(*[f"`{n}`" for n in state.diff.names]).createOrReplaceTempView("__excluded")
+        # A name of its own: other sessions may upsert at the same time. The frame that uses it is resolved before it goes.
+        view = f"__excluded_{uuid.uuid4().hex}"
+        rows.select(*[f"`{n}`" for n in state.diff.names]).createOrReplaceTempView(view)
         match = " AND ".join(f"{state.name}.`{c}` = excluded.`{c}`" for c in on)
         lower = {n.lower(): n for n in state.diff.names}
         named = [(lower[c.lower()], e) for c, e in assignments]
         extra = ", ".join(f"({e}) AS __n{i}" for i, (_, e) in enumerate(named))
-        hit = self.candidates(version.put(state), state, state.name, "__excluded AS excluded", match + (f" AND ({where})" if where else ""), extra)
+        try:
+            hit = self.candidates(version.put(state), state, state.name, f"{view} AS excluded", match + (f" AND ({where})" if where else ""), extra)
+        finally:
+            self.spark.catalog.dropTempView(view)
         new = {c: F.col(f"__n{i}") for i, (c, _) in enumerate(named)}
         images = hit.select(*state.key_columns, *[(new[n] if n in new else F.col(f"`{n}`")).cast(t).alias(n) for n, t, _, _ in state.diff.columns])
         there = self.merged(state).select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(on)])
@@ -224,12 +280,12 @@ class Writer:
         after, frame, n = self.apply(state, images.unionByName(fresh).withColumn(DEAD, F.lit(False)), inserts=True)
         version = version.put(after)
         if n:
-            fk.check_rows(self, version, after, frame)
+            self.check(version, after, frame)
         return version, frame, n
 
     def truncate(self, version: Version, state: TableState, cascade: bool = False, seen: frozenset[str] = frozenset()) -> Version:
         seen = seen | {state.name.lower()}
-        empty = state.evolve(segments=(), paths=(), rows=0, tombstones=0, inserts=0, diff=replace(state.diff, fully_shadowed=True))
+        empty = state.evolve(segments=(), paths=(), sizes=(), rows=0, tombstones=0, inserts=0, diff=replace(state.diff, fully_shadowed=True))
         version = version.put(empty)
         for child, key in fk.children_of(version, state.name):
             if child.name.lower() in seen:

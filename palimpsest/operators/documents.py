@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import NotFound, NotSupported, PreconditionFailed
+from ..errors import Conflict, NotFound, NotSupported, PreconditionFailed, TransactionState, WriteGuard
 from ..session import OverlaySession
 from ..state import DEAD
 
@@ -39,15 +39,16 @@ def raw(field: str) -> Column:
 
 
 class Value:
-    """Type tests and typed readings of one field."""
+    """Type tests and typed readings of one field, or of any VARIANT column."""
 
-    def __init__(self, field: str):
-        self.v = raw(field)
+    def __init__(self, field: str | Column):
+        self.v = raw(field) if isinstance(field, str) else field
         self.kind = F.coalesce(F.schema_of_variant(self.v), F.lit(""))
         get = lambda p, t: F.try_variant_get(self.v, p, t)
         self.text = get("$", "string")
         self.special = {k: get(f"$['${k}']", "string") for k in ("timestamp", "bytes", "ref", "geo", "double")}
         self.number = F.coalesce(F.when(self.kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), get("$", "double")), self.special["double"].try_cast("double"))
+        self.geo = [get(f"$['$geo'][{i}]", "double") for i in (0, 1)]
 
     @property
     def rank(self) -> Column:
@@ -58,28 +59,39 @@ class Value:
             r = r.when(self.special[k].isNotNull(), RANKS[k])
         return r.otherwise(RANKS["map"])
 
+    @property
+    def plain(self) -> list[Column]:
+        """rank, two numbers and a text that sort scalars as values do: numbers and times by value (NaN last), places by both numbers."""
+        moment = F.unix_micros(self.special["timestamp"].try_cast("timestamp")).cast("double")
+        num = F.when(self.rank == RANKS["number"], self.number).when(self.rank == RANKS["timestamp"], moment).when(self.rank == RANKS["geo"], self.geo[0])
+        other = F.coalesce(self.special["bytes"], self.special["ref"], self.text, F.to_json(self.v))
+        text = F.when(~self.rank.isin(RANKS["number"], RANKS["timestamp"], RANKS["geo"], RANKS["array"], RANKS["map"]), other)
+        return [self.rank.alias("rank"), num.alias("num"), F.when(self.rank == RANKS["geo"], self.geo[1]).alias("num2"), text.alias("text")]
+
     @property
     def order(self) -> Column:
-        """A struct that sorts as values do: missing, then by type, numbers by value, others by their text."""
-        other = F.coalesce(self.special["timestamp"], self.special["bytes"], self.special["ref"], self.special["geo"], self.text, F.to_json(self.v))
-        return F.struct(self.rank.alias("rank"), F.when(self.rank == RANKS["number"], self.number).alias("num"), F.when(self.rank != RANKS["number"], other).alias("text"))
+        """A struct that sorts as values do: missing, then by type; arrays by their elements in turn, maps by their keys and
+        values in order of the keys. Arrays and maps inside these go by their JSON."""
+        inner = lambda x: F.struct(*Value(x).plain, F.when(Value(x).rank >= RANKS["array"], F.to_json(x)).alias("json"))
+        items = F.transform(F.try_variant_get(self.v, "$", "array<variant>"), inner)
+        entries = F.array_sort(F.transform(F.map_entries(F.try_variant_get(self.v, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), inner(e["value"]).alias("value"))))
+        return F.struct(*self.plain, F.when(self.rank == RANKS["array"], items).alias("items"), F.when(self.rank == RANKS["map"], entries).alias("entries"))
+
+
+def constant(value: Any) -> Value:
+    """A Python value as a field's value."""
+    return Value(F.parse_json(F.lit(encode(value))))
 
 
 def _literal(value: Any) -> tuple[int, Column]:
-    """(rank, comparable column) of a Python value."""
+    """(rank, comparable column) of a Python value that is compared directly."""
     if value is None:
         return RANKS["null"], F.lit(None)
     if isinstance(value, bool):
         return RANKS["bool"], F.lit("true" if value else "false")
-    if isinstance(value, int | float):
+    if isinstance(value, int | float) and value == value and abs(value) != float("inf"):
         return RANKS["number"], F.lit(float(value))
-    if isinstance(value, datetime.datetime):
-        return RANKS["timestamp"], F.lit(value.isoformat())
-    if isinstance(value, bytes):
-        return RANKS["bytes"], F.lit(value.hex())
-    if isinstance(value, str):
-        return RANKS["string"], F.lit(value)
-    return RANKS["array" if isinstance(value, list) else "map"], F.lit(encode(value))
+    return RANKS["string"] if isinstance(value, str) else 0, F.lit(value if isinstance(value, str) else None)
 
 
 def encode(value: Any) -> str:
@@ -134,22 +146,20 @@ def condition(field: str, op: str, value: Any = None) -> Column:
         return any_of if op == "IN" else (f.rank > RANKS["null"]) & ~any_of
     if op in ("ARRAY_CONTAINS", "ARRAY_CONTAINS_ANY"):
         wanted = value if op == "ARRAY_CONTAINS_ANY" else [value]
-        items = F.transform(F.coalesce(F.try_variant_get(f.v, "$", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.to_json(x))
-        return F.arrays_overlap(items, F.array(*[F.lit(encode(w)) for w in wanted])) & (f.rank == RANKS["array"])
+        items = F.transform(F.coalesce(F.try_variant_get(f.v, "$", "array<variant>"), F.array().cast("array<variant>")), lambda x: Value(x).order)
+        held = lambda order: F.exists(items, lambda x: x == order)
+        found = [held(constant(w).order) for w in wanted]
+        return F.coalesce(reduce(lambda a, b: a | b, found, F.lit(False)), F.lit(False)) & (f.rank == RANKS["array"])
     rank, literal = _literal(value)
     if value is None:
         same = f.rank == RANKS["null"]
         return same if op in ("=", "==") else (f.rank > RANKS["null"])
     if rank == RANKS["number"]:
         column = f.number
-    elif rank in (RANKS["array"], RANKS["map"]):
-        column = F.to_json(f.v)
-    elif rank == RANKS["timestamp"]:
-        column = f.special["timestamp"]
-    elif rank == RANKS["bytes"]:
-        column = f.special["bytes"]
-    else:
+    elif rank:
         column = f.text
+    else:  # times, bytes, places, arrays and maps by the order of values
+        column, literal, rank = f.order, constant(value).order, constant(value).rank
     test = {"=": column == literal, "==": column == literal, "<": column < literal, "<=": column <= literal, ">": column > literal, ">=": column >= literal, "!=": column != literal}[op]
     if op == "!=":
         return F.coalesce((f.rank > RANKS["null"]) & ((f.rank != rank) | test), F.lit(False))
@@ -243,6 +253,22 @@ class Documents:
         """The collection's documents in n ranges of path."""
         return self.query(collection).repartitionByRange(n, "path")
 
+    # -- transactions and calls by name -----------------------------------------------------------------
+
+    def begin(self) -> DocumentTransaction:
+        """A transaction: its reads are those of now, its writes come together at its commit."""
+        return DocumentTransaction(self)
+
+    def call(self, method: str, **request: Any) -> Any:
+        """A request by the name of its method. Reads and writes go to the merged table; writes never reach the base."""
+        kind = classify_method(method)
+        if kind == "write" and self.session.version.get(self.table) is None:
+            raise WriteGuard(f"{method}: {self.table} has no overlay")
+        name = METHODS[method][1]
+        if name is None:
+            raise NotSupported(method)
+        return getattr(self, name)(**request)
+
     # -- writes ----------------------------------------------------------------------------------------
 
     def create(self, collection: str, doc_id: str, fields: dict[str, Any]) -> str:
@@ -307,16 +333,19 @@ class Documents:
         return n
 
     def apply_stream(self, stream: DataFrame, checkpoint: str) -> Any:
-        """A stream of (op, path, fields JSON) rows written batch by batch; the overlay takes each batch as one segment."""
+        """A stream of (op, path, fields JSON) rows written batch by batch; the overlay takes each batch as one segment.
+        Of several rows of a path in a batch the last by ``seq`` counts, where there is such a column, or by place."""
 
         def write(batch: DataFrame, _: int) -> None:
-            last = batch.dropDuplicates(["path"])
             s = self.session
             s._start = version = s.version
             now = F.lit(self.now()).cast("timestamp")
             p = F.col("path")
-            rows = last.select(
-                p, F.regexp_replace(p, "/[^/]*$", "").alias("collection"), F.element_at(F.split(p, "/"), -1).alias("doc_id"), "fields", now.alias("create_time"), now.alias("update_time"), (F.col("op") == "delete").alias(DEAD), p.alias("__k0")
+            order = F.col("seq") if "seq" in batch.columns else F.monotonically_increasing_id()
+            last = batch.withColumn("__order", order).groupBy("path").agg(F.max_by(F.struct("op", "fields"), "__order").alias("last")).select("path", "last.op", "last.fields")
+            there = self.rows().select("path", F.col("create_time").alias("made"))
+            rows = last.join(there, "path", "left").select(
+                p, F.regexp_replace(p, "/[^/]*$", "").alias("collection"), F.element_at(F.split(p, "/"), -1).alias("doc_id"), "fields", F.coalesce("made", now).alias("create_time"), now.alias("update_time"), (F.col("op") == "delete").alias(DEAD), p.alias("__k0")
             )
             after, _, n = s.writer.apply(version.get(self.table), rows)
             if n:
@@ -325,6 +354,63 @@ class Documents:
         return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Methods by name: what they do, and the request here that does it; fixed values.
+METHODS: dict[str, tuple[str, str | None]] = {
+    "GetDocument": ("read", "get"), "BatchGetDocuments": ("read", "batch_get"), "ListDocuments": ("read", "list"), "ListCollectionIds": ("read", "collection_ids"), "RunQuery": ("read", "query"),
+    "RunAggregationQuery": ("read", "aggregate"), "PartitionQuery": ("read", "partition"), "CreateDocument": ("write", "create"), "UpdateDocument": ("write", "update"), "DeleteDocument": ("write", "delete"),
+    "Commit": ("write", "commit"), "BatchWrite": ("write", "commit"), "Write": ("write", "apply_stream"), "BeginTransaction": ("transaction", "begin"), "Rollback": ("transaction", None), "Listen": ("base only", None),
+}
+
+
+def classify_method(method: str) -> str:
+    """read, write, transaction or base only; anything else is refused."""
+    if method not in METHODS:
+        raise NotSupported(f"method {method}")
+    return METHODS[method][0]
+
+
+class DocumentTransaction:
+    """Reads of one version; a commit fails if a document that was read has changed since."""
+
+    def __init__(self, documents: Documents):
+        self.documents, self.read_time, self.open = documents, documents.now(), True
+        snapshot = OverlaySession(documents.session.db)
+        snapshot.current = documents.session.version
+        self.snapshot = Documents(snapshot, documents.table, documents.now)
+        self.seen: set[str] = set()
+
+    def _check(self) -> None:
+        if not self.open:
+            raise TransactionState("the transaction has ended")
+
+    def get(self, path: str) -> dict[str, Any]:
+        self._check()
+        self.seen.add(path)
+        return self.snapshot.get(path)
+
+    def batch_get(self, paths: Sequence[str]) -> list[tuple[str, dict[str, Any] | None]]:
+        self._check()
+        self.seen |= set(paths)
+        return self.snapshot.batch_get(paths)
+
+    def query(self, *args: Any, **options: Any) -> DataFrame:
+        self._check()
+        return self.snapshot.query(*args, **options)
+
+    def commit(self, writes: Sequence[dict[str, Any]] = ()) -> int:
+        self._check()
+        self.open = False
+        if self.seen:
+            mark = lambda d: {r["path"]: r["update_time"] for r in d.rows().filter(F.col("path").isin(list(self.seen))).select("path", "update_time").collect()}
+            if mark(self.snapshot) != mark(self.documents):
+                raise Conflict("a document that was read has changed")
+        return self.documents.commit(writes) if writes else 0
+
+    def rollback(self) -> None:
+        self._check()
+        self.open = False
+
+
 def _copy(value: Any) -> Any:
     return {k: _copy(v) for k, v in value.items()} if isinstance(value, dict) else list(value) if isinstance(value, list) else value
 

@@ -11,9 +11,12 @@ from __future__ import annotations
 
 import datetime
 import json
+import random
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -90,11 +93,11 @@ def _slice(array: Column, start: int, stop: int) -> Column:
 
 
 def _score(member: str) -> Column:
-    return F.filter(F.col("zset"), lambda e: e["member"] == member)[0]["score"]
+    return F.get(F.filter(F.col("zset"), lambda e: e["member"] == member), F.lit(0))["score"]
 
 
-def _score_in(entries: Column, member: str) -> Column:
-    return F.filter(entries, lambda e: e["member"] == member)[0]["score"]
+def _score_in(entries: Column, member: str | Column) -> Column:
+    return F.get(F.filter(entries, lambda e: e["member"] == member), F.lit(0))["score"]
 
 
 def _bound(text: str) -> Callable[[Column, bool], Column]:
@@ -165,19 +168,67 @@ class Read:
     missing: Any = None
 
 
-def _random(array: Column, n: int = 1) -> Column:
-    """Elements in an order fixed by their hash."""
-    return F.slice(F.transform(F.array_sort(F.transform(array, lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda e: e["x"]), 1, n)
+def _random(array: Column, n: int = 1, salt: int | None = None) -> Column:
+    """n different elements drawn at random, or, if n is negative, -n elements that may repeat. One salt gives one draw."""
+    salt = random.getrandbits(62) if salt is None else salt
+    if n < 0:
+        return F.transform(F.sequence(F.lit(1), F.lit(-n)), lambda i: F.get(array, F.pmod(F.xxhash64(F.lit(salt), i), F.greatest(F.size(array), F.lit(1))).cast("int")))
+    return F.slice(F.transform(F.array_sort(F.transform(array, lambda x: F.struct(F.xxhash64(F.lit(salt), x).alias("h"), x.alias("x")))), lambda e: e["x"]), 1, n)
 
 
-def _geo_near(center: tuple[Column, Column], radius: float, unit: str) -> Column:
+def _random_with(array: Column, n: Any, o: Sequence, word: str, value: Callable[[Column], Column]) -> Column:
+    """Random names, each followed by its value where the option says so."""
+    names = _random(array, int(n))
+    if word not in [str(x).upper() for x in o]:
+        return names
+    return F.flatten(F.transform(names, lambda m: F.array(m, value(m))))
+
+
+def _geo_rows(center: tuple[Column, Column]) -> Column:
+    """(d, m, lon, lat) of all members, nearest first."""
+    place = lambda m, i: F.split(F.col("hash")[m], " ")[i].cast("double")
+    rows = F.transform(F.map_keys(F.col("hash")), lambda m: F.struct(_haversine(center, (place(m, 0), place(m, 1))).alias("d"), m.alias("m"), place(m, 0).alias("lon"), place(m, 1).alias("lat")))
+    return F.array_sort(rows)
+
+
+def _geo_reply(rows: Column, unit: str, o: Sequence) -> Column:
+    """Members in order, up to COUNT of them, with what the options ask for."""
+    upper = [str(x).upper() for x in o]
+    rows = F.reverse(rows) if "DESC" in upper else rows
+    if "COUNT" in upper:
+        rows = F.slice(rows, 1, int(o[upper.index("COUNT") + 1]))
+    distance = lambda e: F.format_string("%.4f", F.round(e["d"] / UNITS[unit.lower()], 4))
+    more = [f for word, f in (("WITHDIST", lambda e: [distance(e)]), ("WITHCOORD", lambda e: [_number(e["lon"]), _number(e["lat"])])) if word in upper]
+    if not more:
+        return F.transform(rows, lambda e: e["m"])
+    return F.transform(rows, lambda e: F.array(e["m"], *[c for f in more for c in f(e)]))
+
+
+def _geo_near(center: tuple[Column, Column], radius: Any, unit: str, o: Sequence = ()) -> Column:
     limit = float(radius) * UNITS[unit.lower()]
-    rows = F.transform(F.map_keys(F.col("hash")), lambda m: F.struct(_haversine(center, (F.split(F.col("hash")[m], " ")[0].cast("double"), F.split(F.col("hash")[m], " ")[1].cast("double"))).alias("d"), m.alias("m")))
-    return F.transform(F.array_sort(F.filter(rows, lambda e: e["d"] <= limit)), lambda e: e["m"])
+    return _geo_reply(F.filter(_geo_rows(center), lambda e: e["d"] <= limit), unit, o)
+
+
+def _geo_box(center: tuple[Column, Column], width: Any, height: Any, unit: str, o: Sequence) -> Column:
+    """Within half the height along the meridian and half the width along the member's parallel."""
+    w, h = float(width) * UNITS[unit.lower()] / 2, float(height) * UNITS[unit.lower()] / 2
+    up = lambda e: F.lit(6372797.560856) * F.abs(F.radians(e["lat"] - center[1]))
+    along = lambda e: _haversine((center[0], e["lat"]), (e["lon"], e["lat"]))
+    return _geo_reply(F.filter(_geo_rows(center), lambda e: (up(e) <= h) & (along(e) <= w)), unit, o)
 
 
-def _lpos(value: str) -> Column:
-    return F.nullif(F.array_position(F.col("list"), str(value)), F.lit(0)) - 1
+def _lpos(value: str, *o: Any) -> Column:
+    """Places of a value: the RANKth from the start (or, if negative, from the end), COUNT of them (0: all), within MAXLEN elements."""
+    rank, count, most = int(_option(o, "RANK", 1)), _option(o, "COUNT", None), int(_option(o, "MAXLEN", 0))
+    n = F.size(F.col("list"))
+    found = F.filter(F.transform(F.col("list"), lambda x, i: F.when(x == str(value), i.cast("long"))), lambda i: i.isNotNull())
+    if most:
+        found = F.filter(found, lambda i: i < most if rank > 0 else i >= n - most)
+    if rank < 0:
+        found = F.reverse(found)
+    if count is None:
+        return F.get(found, F.lit(abs(rank) - 1))
+    return F.slice(found, F.lit(abs(rank)), F.lit(int(count)) if int(count) else F.size(F.col("list")) + 1)
 
 
 def _getrange(start: int, stop: int) -> Column:
@@ -187,13 +238,55 @@ def _getrange(start: int, stop: int) -> Column:
     return F.when(b >= a, _text(F.unhex(F.substring(F.hex(F.col("str")), a * 2 + 1, (b - a + 1) * 2)))).otherwise("")
 
 
-def _bitcount() -> Column:
-    chars = F.filter(F.split(F.hex(F.col("str")), ""), lambda c: c != "")
-    return F.aggregate(chars, F.lit(0), lambda a, c: a + F.bit_count(F.conv(c, 16, 10).cast("int")))
+def _bits() -> Column:
+    return F.concat_ws("", F.transform(F.filter(F.split(F.hex(F.coalesce(F.col("str"), F.lit(b""))), ""), lambda c: c != ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")))
 
 
-def _bits() -> Column:
-    return F.concat_ws("", F.transform(F.filter(F.split(F.hex(F.col("str")), ""), lambda c: c != ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")))
+def _bit_range(o: Sequence) -> tuple[Column, Column]:
+    """(bits from the first one asked for to the last, place of the first) by [start [end [BYTE | BIT]]]."""
+    unit = 1 if o and str(o[-1]).upper() == "BIT" else 8
+    o = [int(x) for x in o if str(x).upper() not in ("BIT", "BYTE")]
+    n = F.length(_bits()) / unit
+    place = lambda i: F.lit(i) if i >= 0 else F.greatest(n + i, F.lit(0))
+    first = place(o[0]) if o else F.lit(0)
+    last = F.least(place(o[1]), n - 1) if len(o) > 1 else n - 1
+    if len(o) > 1 and o[1] < 0:
+        last = F.least(n + o[1], n - 1)
+    at = (first * unit).cast("int")
+    return F.substring(_bits(), at + 1, F.greatest((last - first + 1) * unit, F.lit(0)).cast("int")), at
+
+
+def _bitcount(*o: Any) -> Column:
+    return F.length(F.replace(_bit_range(o)[0], F.lit("0"))).cast("long")
+
+
+def _bitpos(bit: Any, *o: Any) -> Column:
+    """The first such bit, -1 if there is none; zeros follow the string where no end is given."""
+    bits, at = _bit_range(o)
+    ended = len([x for x in o if str(x).upper() not in ("BIT", "BYTE")]) > 1
+    beyond = F.lit(-1) if ended or str(bit) == "1" else F.when(F.length(bits) > 0, F.length(_bits())).otherwise(-1)
+    return F.when(F.instr(bits, str(bit)) > 0, F.instr(bits, str(bit)) - 1 + at).otherwise(beyond).cast("long")
+
+
+_wide = lambda c: c.cast("decimal(20,0)")
+
+
+def _field_at(kind: str, at: Any) -> tuple[bool, int, int]:
+    """(signed, bits, place) of a bit field; a place with # counts fields."""
+    width = int(str(kind)[1:])
+    return str(kind)[0].lower() == "i", width, int(str(at)[1:]) * width if str(at).startswith("#") else int(at)
+
+
+def _field(bits: Column, kind: str, at: Any) -> Column:
+    """The number in a bit field; bits beyond the string are 0."""
+    signed, width, place = _field_at(kind, at)
+    value = _wide(F.conv(F.rpad(F.substring(bits, place + 1, width), width, "0"), 2, 10))
+    return F.when(value >= Decimal(1 << (width - 1)), value - Decimal(1 << width)).otherwise(value).cast("long") if signed else value.cast("long")
+
+
+def _fields(*ops: Any) -> Column:
+    """GET type place, any number of times."""
+    return F.array(*[_field(_bits(), ops[i + 1], ops[i + 2]) for i in range(0, len(ops), 3)])
 
 
 READS: dict[str, Read] = {
@@ -211,7 +304,7 @@ READS: dict[str, Read] = {
     "HEXISTS": Read("hash", lambda f: F.map_contains_key(F.col("hash"), str(f)).cast("int"), 0),
     "HSCAN": Read("hash", lambda cursor=0, *a: F.map_filter(F.col("hash"), lambda k, v: k.rlike(glob(_option(a, "MATCH", "*")))), {}),
     "HSTRLEN": Read("hash", lambda f: F.coalesce(F.octet_length(F.col("hash")[str(f)]), F.lit(0)).cast("long"), 0),
-    "HRANDFIELD": Read("hash", lambda n=1: _random(F.map_keys(F.col("hash")), int(n)), []),
+    "HRANDFIELD": Read("hash", lambda n=1, *o: _random_with(F.map_keys(F.col("hash")), n, o, "WITHVALUES", lambda k: F.col("hash")[k]), []),
     "LRANGE": Read("list", lambda a, b: _slice(F.col("list"), int(a), int(b)), []),
     "LINDEX": Read("list", lambda i: F.get(F.col("list"), F.lit(int(i)) if int(i) >= 0 else F.size(F.col("list")) + int(i))),
     "LLEN": Read("list", lambda: F.size(F.col("list")).cast("long"), 0),
@@ -236,20 +329,20 @@ READS: dict[str, Read] = {
     "ZCOUNT": Read("zset", lambda a, b: F.size(_by_score(a, b)).cast("long"), 0),
     "ZLEXCOUNT": Read("zset", lambda a, b: F.size(_by_lex(a, b)).cast("long"), 0),
     "ZSCAN": Read("zset", lambda cursor=0, *a: _members(F.filter(F.col("zset"), lambda e: e["member"].rlike(glob(_option(a, "MATCH", "*")))), ["WITHSCORES"]), []),
-    "ZRANDMEMBER": Read("zset", lambda n=1: _random(F.transform(F.col("zset"), lambda e: e["member"]), int(n)), []),
+    "ZRANDMEMBER": Read("zset", lambda n=1, *o: _random_with(F.transform(F.col("zset"), lambda e: e["member"]), n, o, "WITHSCORES", lambda m: _number(F.filter(F.col("zset"), lambda e: e["member"] == m)[0]["score"])), []),
     "XLEN": Read("stream", lambda: F.size(F.col("stream")).cast("long"), 0),
     "XRANGE": Read("stream", lambda a="-", b="+", *o: _limit_count(_ids(a, b), o), []),
     "XREVRANGE": Read("stream", lambda b="+", a="-", *o: _limit_count(F.reverse(_ids(a, b)), o), []),
     "PFCOUNT": Read("hll", lambda: F.size(F.col("set")).cast("long"), 0),
     "GETBIT": Read("string", lambda i: F.shiftright(_byte_at(int(i) // 8), 7 - int(i) % 8).bitwiseAND(1), 0),
-    "BITCOUNT": Read("string", lambda *a: _bitcount(), 0),
-    "BITPOS": Read("string", lambda bit, *a: F.instr(_bits(), str(bit)) - 1, -1),
-    "BITFIELD_RO": Read("string", lambda get, kind, at: F.conv(F.substring(_bits(), int(at) + 1, int(str(kind)[1:])), 2, 10).cast("long"), 0),
-    "GEODIST": Read("geo", lambda a, b, unit="m": _haversine(_place(str(a)), _place(str(b))) / UNITS[str(unit).lower()]),
+    "BITCOUNT": Read("string", _bitcount, 0),
+    "BITPOS": Read("string", _bitpos, lambda bit, *a: -1 if str(bit) == "1" else 0),
+    "BITFIELD_RO": Read("string", _fields, lambda *a: [0] * (len(a) // 3)),
+    "GEODIST": Read("geo", lambda a, b, unit="m": F.round(_haversine(_place(str(a)), _place(str(b))) / UNITS[str(unit).lower()], 4)),
     "GEOPOS": Read("geo", lambda *ms: F.array(*[F.col("hash")[str(m)] for m in ms])),
     "GEOHASH": Read("geo", lambda *ms: F.array(*[_geohash(_place(str(m))) for m in ms])),
-    "GEORADIUS": Read("geo", lambda lon, lat, r, unit, *a: _geo_near((F.lit(float(lon)), F.lit(float(lat))), r, unit), []),
-    "GEORADIUSBYMEMBER": Read("geo", lambda m, r, unit, *a: _geo_near(_place(str(m)), r, unit), []),
+    "GEORADIUS": Read("geo", lambda lon, lat, r, unit, *a: _geo_near((F.lit(float(lon)), F.lit(float(lat))), r, unit, a), []),
+    "GEORADIUSBYMEMBER": Read("geo", lambda m, r, unit, *a: _geo_near(_place(str(m)), r, unit, a), []),
     "GEOSEARCH": Read("geo", lambda *a: _geo_search(a), []),
     "SORT": Read(None, lambda *a: _sort(a), []),
 }
@@ -320,10 +413,11 @@ def _geo_search(a: Sequence) -> Column:
     else:
         i = upper.index("FROMLONLAT")
         center = (F.lit(float(a[i + 1])), F.lit(float(a[i + 2])))
-    if "BYRADIUS" not in upper:
-        raise NotSupported("GEOSEARCH BYBOX")
+    if "BYBOX" in upper:
+        i = upper.index("BYBOX")
+        return _geo_box(center, a[i + 1], a[i + 2], str(a[i + 3]), a)
     i = upper.index("BYRADIUS")
-    return _geo_near(center, float(a[i + 1]), str(a[i + 2]))
+    return _geo_near(center, a[i + 1], str(a[i + 2]), a)
 
 
 def _sort(a: Sequence) -> Column:
@@ -350,7 +444,7 @@ class Change:
     extra: dict[str, Column] | None = None
 
 
-_num = lambda c: F.coalesce(_text(c).cast("long"), F.lit(0))
+_num = lambda c: F.coalesce(_text(c).try_cast("long"), F.lit(0))
 
 
 def _set(now: datetime.datetime, value: Any, *o: Any) -> Change:
@@ -404,7 +498,7 @@ def _zadd(a: Sequence) -> Change:
     new = F.filter(F.array(*entries), lambda e: e["score"].isNotNull())
     kept = F.filter(old, lambda e: ~e["member"].isin(*pairs))
     value = _sorted(F.concat(kept, new))
-    reply = F.size(value) - F.size(old) if "INCR" not in flags else new[0]["score"]
+    reply = F.size(value) - F.size(old) if "INCR" not in flags else F.get(new, F.lit(0))["score"]
     return Change("zset", value, reply)
 
 
@@ -490,7 +584,7 @@ WRITES: dict[str, Callable[..., Change]] = {
     "LTRIM": lambda now, a, b: Change("list", _slice(_or("list"), int(a), int(b)), F.lit("OK")),
     "SADD": lambda now, *m: Change("set", F.array_sort(F.array_union(_or("set"), _strings(m))), F.size(F.array_except(_strings(m), _or("set")))),
     "SREM": lambda now, *m: Change("set", F.array_except(_or("set"), _strings(m)), F.size(F.array_intersect(_or("set"), _strings(m)))),
-    "SPOP": lambda now, n=None: Change("set", F.array_except(_or("set"), _random(_or("set"), int(n or 1))), _random(_or("set"), 1)[0] if n is None else _random(_or("set"), int(n))),
+    "SPOP": lambda now, n=None: _spop(n),
     "ZADD": lambda now, *a: _zadd(a), "ZINCRBY": lambda now, n, m: _zadd(("INCR", n, m)),
     "ZREM": lambda now, *m: _zremove(F.filter(_or("zset"), lambda e: e["member"].isin(*[str(x) for x in m]))),
     "ZREMRANGEBYSCORE": lambda now, a, b: _zremove(_by_score(a, b)), "ZREMRANGEBYLEX": lambda now, a, b: _zremove(_by_lex(a, b)), "ZREMRANGEBYRANK": lambda now, a, b: _zremove(_slice(_or("zset"), int(a), int(b))),
@@ -508,6 +602,11 @@ WRITES: dict[str, Callable[..., Change]] = {
 }
 
 
+def _spop(n: Any) -> Change:
+    drawn = _random(_or("set"), int(1 if n is None else n), random.getrandbits(62))
+    return Change("set", F.array_except(_or("set"), drawn), F.get(drawn, F.lit(0)) if n is None else drawn)
+
+
 def _hput(field: str, value: Column) -> Column:
     return F.map_concat(F.map_filter(_or("hash"), lambda k, v: k != field), F.create_map(F.lit(field), value))
 
@@ -535,6 +634,8 @@ class KeyValue:
         self.now = now or (lambda: datetime.datetime.now(datetime.UTC))
         self.queue: list[tuple] | None = None
         self.watched: dict[str, int] = {}
+        self.settings: dict[str, str] = {}
+        self.channels: dict[tuple[str, str], None] = {}
 
     # -- rows -----------------------------------------------------------------------------------
 
@@ -592,7 +693,7 @@ class KeyValue:
 
     def _row(self, key: str) -> DataFrame:
         """One row for a key, nulls where it is missing."""
-        one = self.session.spark.createDataFrame([(str(key),)], "k string")
+        one = self.session.spark.range(1).select(F.lit(str(key)).alias("k"))
         found = self.rows().filter(F.col("key") == str(key))
         return one.join(found, F.col("k") == F.col("key"), "left").withColumn("key", F.col("k")).drop("k")
 
@@ -609,7 +710,7 @@ class KeyValue:
             self.queue.append((name, *args))
             return "QUEUED"
         if name in SESSION:
-            return args[0] if name == "ECHO" else "PONG" if name == "PING" else "OK"
+            return self._server(name, [str(a) for a in args])
         special = getattr(self, f"_do_{name.lower()}", None)
         if special is not None:
             return special(*args)
@@ -619,11 +720,77 @@ class KeyValue:
             return self._write(name, args[0], args[1:])
         raise NotSupported(f"unknown command {name}")
 
+    def _server(self, name: str, args: list[str]) -> Any:
+        """Replies of commands on the connection or server. There is one server, of one database, without replicas."""
+        word = args[0].upper() if args else ""
+        if name == "PING":
+            return args[0] if args else "PONG"
+        if name == "ECHO":
+            return args[0]
+        if name == "TIME":
+            now = self.now()
+            return [str(int(now.timestamp())), str(now.microsecond)]
+        if name == "SELECT":
+            if word != "0":
+                raise OverlayError("there is one database, 0")
+            return "OK"
+        if name == "INFO":
+            return f"# Server\r\nmode:standalone\r\n# Keyspace\r\ndb0:keys={self._do_dbsize()}\r\n"
+        if name == "CONFIG":
+            if word == "SET":
+                self.settings[args[1].lower()] = args[2]
+                return "OK"
+            return {k: v for k, v in sorted(self.settings.items()) if re.match(glob(args[1].lower()), k)} if word == "GET" else "OK"
+        if name == "CLIENT":
+            if word == "SETNAME":
+                self.settings[" name"] = args[1]
+                return "OK"
+            return {"GETNAME": self.settings.get(" name"), "ID": 1}.get(word, "OK")
+        if name == "COMMAND":
+            names = sorted(set(READS) | set(WRITES) | SESSION | {x[4:].upper() for x in dir(self) if x.startswith("_do_")})
+            return len(names) if word == "COUNT" else names
+        if name == "MEMORY":
+            return self._do_dump_size(args[1]) if word == "USAGE" else "OK"
+        if name in ("WAIT", "WAITAOF"):
+            return 0 if name == "WAIT" else [0, 0]
+        if name in ("SLOWLOG", "LATENCY", "MODULE", "PUBSUB", "CLUSTER"):
+            return 0 if word in ("LEN", "NUMPAT", "RESET") and name != "CLUSTER" else "cluster_enabled:0\r\n" if word == "INFO" else []
+        if name == "HELLO":
+            return {"server": "palimpsest", "proto": 3 if word == "3" else 2, "mode": "standalone", "role": "master", "modules": []}
+        if name == "RESET":
+            self.queue, self.watched, self.channels = None, {}, {}
+            return "RESET"
+        if name == "UNWATCH":
+            self.watched = {}
+            return "OK"
+        if name in ("SUBSCRIBE", "PSUBSCRIBE", "SSUBSCRIBE"):
+            self.channels |= {(name, c): None for c in args}
+            return [[name.lower(), c, i + 1] for i, c in enumerate(args)]
+        if name in ("UNSUBSCRIBE", "PUNSUBSCRIBE", "SUNSUBSCRIBE"):
+            kind = name.replace("UN", "", 1)
+            gone = args or [c for k, c in self.channels if k == kind]
+            for c in gone:
+                self.channels.pop((kind, c), None)
+            return [[name.lower(), c, len(self.channels)] for c in gone]
+        return "OK"  # AUTH, QUIT
+
+    def _do_dump_size(self, key: str) -> int | None:
+        row = self.rows().filter(F.col("key") == key).select(F.octet_length(F.to_json(F.struct("*")))).first()
+        return row[0] if row else None
+
+    def read_each(self, pattern: str, **commands: Sequence) -> DataFrame:
+        """(key, a column for each read command of one type) on every key that matches, in one job: name=(command, arguments ...)."""
+        kinds = {READS[c[0].upper()].kind for c in commands.values()} - {None}
+        rows = self.rows().filter(F.col("key").rlike(glob(pattern)))
+        if kinds:
+            rows = rows.filter(F.col("type").isin(*kinds))
+        return rows.select("key", *[READS[c[0].upper()].value(*c[1:]).alias(n) for n, c in commands.items()])
+
     def _read(self, name: str, key: str, args: Sequence) -> Any:
         spec = READS[name]
         row = self.rows().filter(F.col("key") == str(key)).select("type", spec.value(*args).alias("v")).first()
         if row is None:
-            return [None] * len(args) if name in ("HMGET", "ZMSCORE", "GEOPOS") else [0] * len(args) if name == "SMISMEMBER" else spec.missing
+            return [None] * len(args) if name in ("HMGET", "ZMSCORE", "GEOPOS") else [0] * len(args) if name == "SMISMEMBER" else spec.missing(*args) if callable(spec.missing) else spec.missing
         if spec.kind and row["type"] != spec.kind:
             raise WrongType(f"{key} holds a {row['type']}, not a {spec.kind}")
         return row["v"]
@@ -631,10 +798,11 @@ class KeyValue:
     def _write(self, name: str, key: str, args: Sequence) -> Any:
         change = WRITES[name](self.now(), *args)
         row = self._row(key)
-        now = row.select("type", change.reply.alias("reply"), (F.lit(True) if change.when is None else F.coalesce(change.when, F.lit(False))).alias("go")).first()
+        whole = F.coalesce(_text(F.col("str")).rlike(r"^-?\d+$"), F.lit(True))
+        now = row.select("type", change.reply.alias("reply"), (F.lit(True) if change.when is None else F.coalesce(change.when, F.lit(False))).alias("go"), whole.alias("whole")).first()
         if change.kind and now["type"] not in (None, change.kind) and name not in ("SET", "SETEX", "PSETEX"):
             raise WrongType(f"{key} holds a {now['type']}, not a {change.kind}")
-        if name in ("INCR", "INCRBY", "DECR", "DECRBY") and now["type"] and not re.fullmatch(r"-?\d+", self._read("GET", key, ())):
+        if name in ("INCR", "INCRBY", "DECR", "DECRBY") and not now["whole"]:
             raise WrongType("value is not an integer")
         if now["go"] and not (now["type"] is None and name in POPS):
             self._store(row, change)
@@ -671,7 +839,7 @@ class KeyValue:
         return self.rows().count()
 
     def _do_randomkey(self) -> str | None:
-        row = self.rows().select("key").orderBy(F.xxhash64("key")).limit(1).first()
+        row = self.rows().select("key").orderBy(F.xxhash64(F.lit(random.getrandbits(62)), "key")).limit(1).first()
         return row[0] if row else None
 
     def _do_ttl(self, key: str, scale: int = 1) -> int:
@@ -717,33 +885,52 @@ class KeyValue:
         self._store(row, Change(kind, F.col(COLUMN_OF[kind]), F.lit(0), None, {"expire_at": F.lit(None).cast("timestamp")}))
         return len(value)
 
-    def _sets(self, keys: Sequence[str]) -> list[list[str]]:
-        return [list(v or []) for v in self._values(keys, "set")]
+    def _held(self, keys: Sequence[str], kinds: Sequence[str], column: str) -> DataFrame:
+        """One row with the value of each key, v0, v1 ..., empty where it is missing; in one job, in the JVM."""
+        rows = self.rows().filter(F.col("key").isin([str(k) for k in keys]))
+        wrong = F.max(F.when(~F.col("type").isin(*kinds), F.col("key")))
+        empty = F.lit(b"") if column == "str" else F.array().cast(SCHEMA[column].dataType)
+        one = rows.agg(F.map_from_entries(F.collect_list(F.struct("key", column))).alias("m"), wrong.alias("wrong"))
+        return one.select(*[F.coalesce(F.col("m")[str(k)], empty).alias(f"v{i}") for i, k in enumerate(keys)], "wrong")
+
+    def _reply(self, one: DataFrame, value: Column) -> Any:
+        row = one.select(value.alias("v"), "wrong").first()
+        if row["wrong"] is not None:
+            raise WrongType(f"{row['wrong']} holds another type")
+        return row["v"]
+
+    def _keep(self, to: str, kind: str, one: DataFrame, value: Column, size: Callable[[Column], Column] = F.size) -> int:
+        """Store a value made in the JVM under a key; how large it is."""
+        n = self._reply(one, size(value))
+        made = {c: F.lit(None).cast(SCHEMA[c].dataType) for c in SCHEMA.fieldNames()} | {"key": F.lit(str(to)), "type": F.lit(kind), COLUMN_OF[kind]: value.cast(SCHEMA[COLUMN_OF[kind]].dataType)}
+        self._store(one.select(*[made[c].alias(c) for c in SCHEMA.fieldNames()]), Change(kind, F.col(COLUMN_OF[kind]), F.lit(0), None, {"expire_at": F.lit(None).cast("timestamp")}))
+        return n
+
+    def _algebra(self, keys: Sequence[str], step: Callable[[Column, Column], Column], kinds: Sequence[str] = ("set",)) -> tuple[DataFrame, Column]:
+        return self._held(keys, kinds, "set"), F.array_sort(reduce(step, [F.col(f"v{i}") for i in range(len(keys))]))
 
     def _do_sunion(self, *keys: str) -> list[str]:
-        return sorted(set().union(*self._sets(keys)))
+        return self._reply(*self._algebra(keys, F.array_union))
 
     def _do_sinter(self, *keys: str) -> list[str]:
-        sets = [set(s) for s in self._sets(keys)]
-        return sorted(set.intersection(*sets))
+        return self._reply(*self._algebra(keys, F.array_intersect))
 
     def _do_sdiff(self, *keys: str) -> list[str]:
-        first, *rest = self._sets(keys)
-        return sorted(set(first).difference(*rest))
+        return self._reply(*self._algebra(keys, F.array_except))
 
     def _do_sunionstore(self, to: str, *keys: str) -> int:
-        return self._put(to, "set", self._do_sunion(*keys))
+        return self._keep(to, "set", *self._algebra(keys, F.array_union))
 
     def _do_sinterstore(self, to: str, *keys: str) -> int:
-        return self._put(to, "set", self._do_sinter(*keys))
+        return self._keep(to, "set", *self._algebra(keys, F.array_intersect))
 
     def _do_sdiffstore(self, to: str, *keys: str) -> int:
-        return self._put(to, "set", self._do_sdiff(*keys))
+        return self._keep(to, "set", *self._algebra(keys, F.array_except))
 
     def _do_sintercard(self, n: int, *keys: str) -> int:
-        found = len(self._do_sinter(*keys[: int(n)]))
+        one, found = self._algebra(keys[: int(n)], F.array_intersect)
         limit = int(_option(keys, "LIMIT", 0))
-        return min(found, limit) if limit else found
+        return self._reply(one, F.least(F.size(found), F.lit(limit)) if limit else F.size(found))
 
     def _do_smove(self, source: str, to: str, member: str) -> int:
         if not self.execute("SREM", source, member):
@@ -751,37 +938,49 @@ class KeyValue:
         self.execute("SADD", to, member)
         return 1
 
-    def _zsets(self, keys: Sequence[str]) -> list[dict[str, float]]:
-        return [{e["member"]: e["score"] for e in (v or [])} for v in self._values(keys, "zset")]
-
-    def _combine(self, n: int, rest: Sequence, inter: bool) -> list[tuple[float, str]]:
+    def _combine(self, n: int, rest: Sequence, inter: bool) -> tuple[DataFrame, Column]:
+        """(values, members with their scores folded) of ZUNION and ZINTER, in the JVM."""
         keys, o = rest[: int(n)], list(rest[int(n) :])
         upper = [str(x).upper() for x in o]
         weights = [float(x) for x in o[upper.index("WEIGHTS") + 1 :][: int(n)]] if "WEIGHTS" in upper else [1.0] * int(n)
-        fold = {"SUM": sum, "MIN": min, "MAX": max}[str(_option(o, "AGGREGATE", "SUM")).upper()]
-        sets = self._zsets(keys)
-        members = set.intersection(*[set(s) for s in sets]) if inter else set().union(*sets)
-        return sorted((float(fold([s[m] * w for s, w in zip(sets, weights) if m in s])), m) for m in members)
+        fold = {"SUM": lambda a, b: a + b, "MIN": F.least, "MAX": F.greatest}[str(_option(o, "AGGREGATE", "SUM")).upper()]
+        weighted = lambda z, w: F.transform(z, lambda e: F.struct((e["score"] * w).alias("score"), e["member"].alias("member")))
+        sets = [weighted(F.col(f"v{i}"), w) for i, w in enumerate(weights)]
+        names = lambda z: F.transform(z, lambda e: e["member"])
+        members = reduce(F.array_intersect if inter else F.array_union, [names(z) for z in sets])
+
+        def score(m: Column) -> Column:
+            found = [_score_in(z, m) for z in sets]
+            return reduce(lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(fold(a, b)), found)
+
+        made = F.transform(members, lambda m: F.struct(score(m).alias("score"), m.alias("member")))
+        return self._held(keys, ("zset",), "zset"), F.array_sort(made)
+
+    def _zdiff(self, n: int, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+        others = [F.transform(F.col(f"v{i}"), lambda e: e["member"]) for i in range(1, int(n))]
+        left = F.filter(F.col("v0"), lambda e: ~F.array_contains(F.flatten(F.array(*others)), e["member"])) if others else F.col("v0")
+        return self._held(keys[: int(n)], ("zset",), "zset"), left
 
     def _do_zunionstore(self, to: str, n: int, *rest: Any) -> int:
-        return self._put(to, "zset", self._combine(n, rest, False))
+        return self._keep(to, "zset", *self._combine(n, rest, False))
 
     def _do_zinterstore(self, to: str, n: int, *rest: Any) -> int:
-        return self._put(to, "zset", self._combine(n, rest, True))
+        return self._keep(to, "zset", *self._combine(n, rest, True))
 
     def _do_zunion(self, n: int, *rest: Any) -> list[str]:
-        return [m for _, m in self._combine(n, rest, False)]
+        one, made = self._combine(n, rest, False)
+        return self._reply(one, _members(made, rest))
 
     def _do_zinter(self, n: int, *rest: Any) -> list[str]:
-        return [m for _, m in self._combine(n, rest, True)]
+        one, made = self._combine(n, rest, True)
+        return self._reply(one, _members(made, rest))
 
     def _do_zdiff(self, n: int, *keys: str) -> list[str]:
-        first, *rest = self._zsets(keys[: int(n)])
-        return [m for _, m in sorted((s, m) for m, s in first.items() if not any(m in r for r in rest))]
+        one, made = self._zdiff(n, keys)
+        return self._reply(one, _members(made, keys))
 
     def _do_zdiffstore(self, to: str, n: int, *keys: str) -> int:
-        first, *rest = self._zsets(keys[: int(n)])
-        return self._put(to, "zset", sorted((s, m) for m, s in first.items() if not any(m in r for r in rest)))
+        return self._keep(to, "zset", *self._zdiff(n, keys))
 
     def _do_zrangestore(self, to: str, key: str, *a: Any) -> int:
         flat = self.execute("ZRANGE", key, *a, "WITHSCORES")
@@ -825,44 +1024,61 @@ class KeyValue:
         return self._first("ZPOPMIN" if str(o[0]).upper() == "MIN" else "ZPOPMAX", keys, "zset", int(_option(o, "COUNT", 1)))
 
     def _do_pfcount(self, *keys: str) -> int:
-        return len(set().union(*self._sets(keys)))
+        one, found = self._algebra(keys, F.array_union, ("hll",))
+        return self._reply(one, F.size(found))
 
     def _do_pfmerge(self, to: str, *keys: str) -> str:
-        self._put(to, "hll", sorted(set().union(*self._sets([to, *keys]))))
+        self._keep(to, "hll", *self._algebra([to, *keys], F.array_union, ("hll",)))
         return "OK"
 
     def _do_bitop(self, op: str, to: str, *keys: str) -> int:
-        values = [bytes(v or b"") for v in self._values(keys, "str")]
-        n = max(map(len, values))
-        values = [v.ljust(n, b"\0") for v in values]
-        fold = {"AND": lambda a, b: a & b, "OR": lambda a, b: a | b, "XOR": lambda a, b: a ^ b}
-        if op.upper() == "NOT":
-            out = bytes(255 - b for b in values[0])
-        else:
-            out = values[0]
-            for v in values[1:]:
-                out = bytes(fold[op.upper()](a, b) for a, b in zip(out, v))
-        return self._put(to, "string", bytearray(out))
+        fold = {"AND": lambda a, b: a.bitwiseAND(b), "OR": lambda a, b: a.bitwiseOR(b), "XOR": lambda a, b: a.bitwiseXOR(b)}.get(op.upper())
+        values = [F.hex(F.col(f"v{i}")) for i in range(len(keys))]
+        n = F.greatest(*[F.length(v) for v in values], F.lit(0)) / 2
+        byte = lambda v, i: F.conv(F.rpad(F.substring(v, (2 * i - 1).cast("int"), F.lit(2)), 2, "0"), 16, 10).cast("int")
+        one_byte = (lambda i: F.lit(255).bitwiseXOR(byte(values[0], i))) if op.upper() == "NOT" else lambda i: reduce(fold, [byte(v, i) for v in values])
+        made = F.when(n > 0, F.unhex(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), lambda i: F.lpad(F.hex(one_byte(i)), 2, "0"))))).otherwise(F.lit(b""))
+        return self._keep(to, "string", self._held(keys, ("string",), "str"), made, F.octet_length)
 
     def _do_bitfield(self, key: str, *a: Any) -> list[Any]:
-        out, i = [], 0
+        """GET, SET, INCRBY and OVERFLOW in turn, on the bits as one text: one job for the replies, one write."""
+        row = self._row(key).withColumn("__bits", _bits())
+        kind, wrap, replies, changed, i = "WRAP", None, [], False, 0
         while i < len(a):
             word = str(a[i]).upper()
+            if word == "OVERFLOW":
+                kind, i = str(a[i + 1]).upper(), i + 2
+                continue
+            signed, width, place = _field_at(a[i + 1], a[i + 2])
+            name = f"__r{len(replies)}"
+            old = _field(F.col("__bits"), a[i + 1], a[i + 2])
             if word == "GET":
-                out.append(self.execute("BITFIELD_RO", key, "GET", a[i + 1], a[i + 2]))
-                i += 3
-            elif word in ("SET", "INCRBY"):
-                kind, at, value = str(a[i + 1]), int(a[i + 2]), int(a[i + 3])
-                width = int(kind[1:])
-                old = self.execute("BITFIELD_RO", key, "GET", kind, at) or 0
-                new = (value if word == "SET" else old + value) % (1 << width)
-                for b in range(width):
-                    self.execute("SETBIT", key, at + b, new >> (width - 1 - b) & 1)
-                out.append(old if word == "SET" else new)
-                i += 4
-            else:
-                i += 2
-        return out
+                row, i = row.withColumn(name, old), i + 3
+                replies.append(name)
+                continue
+            low, high = (-(1 << (width - 1)), (1 << (width - 1)) - 1) if signed else (0, (1 << width) - 1)
+            new = (_wide(F.lit(0)) if word == "SET" else _wide(old)) + Decimal(int(a[i + 3]))
+            fits = (new >= Decimal(low)) & (new <= Decimal(high))
+            if kind == "SAT":
+                new = F.greatest(F.least(new, F.lit(Decimal(high))), F.lit(Decimal(low)))
+            wrap = F.pmod(new, F.lit(Decimal(1 << width)))
+            text = F.lpad(F.conv(_wide(wrap).cast("string"), 10, 2), width, "0")
+            padded = F.rpad(F.col("__bits"), F.greatest(F.length("__bits"), F.lit(-(-(place + width) // 8) * 8)), F.lit("0"))
+            put = F.concat(F.substring(padded, 1, place), text, F.substring(padded, place + width + 1, 1 << 30))
+            value = F.when(wrap > Decimal(high), wrap - Decimal(1 << width)).otherwise(wrap)
+            reply = old if word == "SET" else value.cast("long")
+            if kind == "FAIL":
+                put, reply = F.when(fits, put).otherwise(F.col("__bits")), F.when(fits, reply)
+            row = row.withColumn("__put", put).withColumn(name, reply).withColumn("__bits", F.col("__put")).drop("__put")
+            replies.append(name)
+            changed, i = True, i + 4
+        got = row.select("type", *replies).first()
+        if got["type"] not in (None, "string"):
+            raise WrongType(f"{key} holds a {got['type']}, not a string")
+        if changed:
+            digits = F.transform(F.sequence(F.lit(0), F.greatest(F.length("__bits") / 4 - 1, F.lit(0)).cast("int")), lambda j: F.conv(F.substring(F.col("__bits"), (4 * j + 1).cast("int"), F.lit(4)), 2, 16))
+            self._store(row, Change("string", F.unhex(F.concat_ws("", digits)), F.lit(0)))
+        return [got[r] for r in replies]
 
     def _do_lcs(self, a: str, b: str, *o: Any) -> Any:
         x, y = (v or "" for v in self._do_mget(a, b))
@@ -984,13 +1200,20 @@ class KeyValue:
 
     def _do_xpending(self, key: str, group: str, *o: Any) -> Any:
         _, groups = self._group(key, group)
-        pending = sorted(groups[group]["pending"].items())
+        order = lambda i: tuple(int(x) for x in f"{i}-0".split("-")[:2])
+        pending = sorted(groups[group]["pending"].items(), key=lambda p: order(p[0]))
         if not o:
             per: dict[str, int] = {}
             for _, p in pending:
                 per[p[0]] = per.get(p[0], 0) + 1
             return [len(pending), pending[0][0] if pending else None, pending[-1][0] if pending else None, per]
-        return [[i, p[0], self._ms() - p[1], p[2]] for i, p in pending][: int(o[-1]) if str(o[-1]).isdigit() else None]
+        rest, idle = list(o), 0
+        if str(rest[0]).upper() == "IDLE":
+            idle, rest = int(rest[1]), rest[2:]
+        low, high, n, *who = [str(x) for x in rest]
+        inside = lambda i: (low == "-" or order(i) >= order(low.lstrip("(")) and i != low[1:]) and (high == "+" or order(i) <= order(high if "-" in high else f"{high}-{2**62}"))
+        found = [[i, p[0], self._ms() - p[1], p[2]] for i, p in pending if inside(i) and self._ms() - p[1] >= idle and (not who or p[0] == who[0])]
+        return found[: int(n)]
 
     def _do_xinfo(self, what: str, key: str, *a: Any) -> Any:
         row, groups = self._groups(key)
@@ -1004,17 +1227,62 @@ class KeyValue:
         return {"length": len(row["stream"] or []), "groups": len(groups), "last": row["stream"][-1]["id"] if row["stream"] else None}
 
     def _do_object(self, what: str, key: str) -> Any:
-        kind = self._read("TYPE", key, ())
-        if what.upper() == "ENCODING":
-            return None if kind == "none" else {"string": "raw", "hash": "hashtable", "list": "quicklist", "set": "hashtable", "zset": "skiplist", "stream": "stream"}[kind]
-        return None if kind == "none" else 1 if what.upper() == "REFCOUNT" else 0
+        row = self.rows().filter(F.col("key") == str(key)).first()
+        if row is None:
+            return None
+        if what.upper() != "ENCODING":
+            return 1 if what.upper() == "REFCOUNT" else 0
+        value = row[COLUMN_OF[row["type"]]] or ()
+        small = lambda items, n: len(value) <= n and all(len(str(x).encode()) <= 64 for x in items)
+        if row["type"] == "string":
+            text = bytes(value)
+            return "int" if re.fullmatch(rb"-?\d{1,18}", text) else "embstr" if len(text) <= 44 else "raw"
+        if row["type"] == "set" and all(re.fullmatch(r"-?\d{1,18}", x) for x in value) and len(value) <= 512:
+            return "intset"
+        if row["type"] in ("hash", "set"):
+            return "listpack" if small([*value, *(value.values() if row["type"] == "hash" else ())], 128) else "hashtable"
+        if row["type"] in ("zset", "geo"):
+            return "listpack" if small([e["member"] if row["type"] == "zset" else e for e in value], 128) else "skiplist"
+        return {"list": "quicklist", "stream": "stream", "hll": "raw"}[row["type"]]
 
     def _do_sort(self, key: str, *a: Any) -> Any:
         upper = [str(x).upper() for x in a]
-        if "STORE" not in upper:
+        if "STORE" in upper:
+            i = upper.index("STORE")
+            return self._put(a[i + 1], "list", self._do_sort(key, *a[:i], *a[i + 2 :]))
+        gets = [str(a[i + 1]) for i, x in enumerate(upper) if x == "GET"]
+        by = str(a[upper.index("BY") + 1]) if "BY" in upper else None
+        if not gets and by is None:
             return self._read("SORT", key, a)
-        i = upper.index("STORE")
-        return self._put(a[i + 1], "list", self._read("SORT", key, [*a[:i], *a[i + 2 :]]))
+        # Items with their weights and values: a join with the keys that the patterns name.
+        row = self.rows().filter(F.col("key") == str(key))
+        items = row.select(F.posexplode(F.coalesce(F.col("list"), F.col("set"), F.transform(F.col("zset"), lambda e: e["member"]))).alias("place", "item"))
+
+        def looked_up(pattern: str, name: str) -> None:
+            nonlocal items
+            at, _, field = pattern.partition("->")
+            if at == "#":
+                items = items.withColumn(name, F.col("item"))
+                return
+            value = F.col("hash")[field] if field else _text(F.col("str"))
+            other = self.rows().filter(F.col("type") == ("hash" if field else "string")).select(F.col("key").alias(f"{name}_k"), value.alias(name))
+            before, _, after = at.partition("*")
+            items = items.join(other, F.concat(F.lit(before), F.col("item"), F.lit(after)) == F.col(f"{name}_k"), "left").drop(f"{name}_k")
+
+        order = []
+        if by is not None and "*" in by:
+            looked_up(by, "weight")
+            order = [F.col("weight") if "ALPHA" in upper else F.coalesce(F.col("weight").try_cast("double"), F.lit(0.0))]
+        elif by is None:
+            order = [F.col("item") if "ALPHA" in upper else F.col("item").cast("double")]
+        for i, g in enumerate(gets):
+            looked_up(g, f"g{i}")
+        last = F.col("item") if order else F.col("place")
+        items = items.orderBy(*[(o.desc() if "DESC" in upper else o.asc()) for o in (*order, last)])
+        if "LIMIT" in upper:
+            i = upper.index("LIMIT")
+            items = items.offset(int(a[i + 1])).limit(int(a[i + 2]))
+        return [r[c] for r in items.collect() for c in ([f"g{i}" for i in range(len(gets))] or ["item"])]
 
     def _do_geosearchstore(self, to: str, key: str, *a: Any) -> int:
         members = self.execute("GEOSEARCH", key, *a)

@@ -510,4 +510,4 @@ ORACLES["log_percentiles"] = """SELECT date_trunc('day', ts) AS bucket, round(qu
     CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1"""
 
 
-from . import suite_keyed  # noqa: E402, F401  registers the key-value, document and stream queries
+from . import suite_commands, suite_forms, suite_keyed  # noqa: E402, F401  register the key-value, document, stream and dialect queries

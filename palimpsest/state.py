@@ -36,6 +36,10 @@ class TableMeta:
     generated: tuple[str, ...] = ()
     auto_id: bool = False
     fks: tuple[ForeignKey, ...] = ()
+    not_null: tuple[str, ...] = ()
+    #: (name, columns) of unique constraints, and (name, condition) of checks.
+    uniques: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    checks: tuple[tuple[str, str], ...] = ()
 
     def default_of(self, column: str) -> str | None:
         return dict(self.defaults).get(column)
@@ -81,6 +85,8 @@ class TableState:
     diff: TableDiff
     segments: tuple[DataFrame, ...] = ()
     paths: tuple[str, ...] = ()
+    #: (rows, tombstones) of each segment.
+    sizes: tuple[tuple[int, int], ...] = ()
     #: Rows in the segments, of these tombstones, and rows inserted.
     rows: int = 0
     tombstones: int = 0

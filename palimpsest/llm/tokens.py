@@ -1,16 +1,16 @@
 """Token ids in Arrow stream files of equal-length sequences with masks.
 
-Layout of one shard ``NNNNNNNN.arrows`` (Arrow IPC stream format): record
+Layout of one shard ``N.arrows`` (Arrow IPC stream format): record
 batches of ``batch_rows`` rows (the last may have fewer) with two columns,
 ``ids: fixed_size_list<uint16|uint32>[L]`` and ``mask: fixed_size_list<bool>[L]``
 (true: a token, false: padding). The ids of a shard are the ids of its
 documents one after the other, each ended by ``end_id``; only the last
-sequence of a shard is padded. The sidecar ``NNNNNNNN.docs.arrows`` has
+sequence of a shard is padded. The sidecar ``N.docs.arrows`` has
 ``doc_id, at, n_tokens`` of the shard's documents in stored order. Both are
 memory-mapped and sliced without copying.
 
-Shards are ranges of the sort key, so shard after shard is the whole corpus in
-order; a document's global ``start`` is the ids of earlier shards plus ``at``.
+Shards are ranges of the sort key or parts of these, so shard after shard in
+order of their numbers is the whole corpus in order; a document's global ``start`` is the ids of earlier shards plus ``at``.
 """
 
 from __future__ import annotations
@@ -23,16 +23,19 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, Words, fresh_path, parallelism, prepare, slices, text_bytes
 
-#: Slots of a worker's table of pieces, and ids that it keeps before it starts again.
-SLOTS, KEPT_IDS = 1 << 21, 1 << 23
+#: Slots of a worker's table of pieces, and ids and bytes of pieces that it keeps before it starts again.
+SLOTS, KEPT_IDS, KEPT_BYTES = 1 << 21, 1 << 23, 1 << 25
 #: Bytes of a piece that its hash tells apart by place; texts with longer pieces go through the library whole.
 LONG_PIECE = 4096
+#: Ranges of the sort key, at most, and numbers of shards that each has for itself.
+MAX_RANGES, SHARDS_PER_RANGE = 4096, 1 << 32
 
 #: ASCII letters (small) and digits, and ASCII punctuation but the apostrophe.
 _ALNUM, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
@@ -52,10 +55,10 @@ class WordEncoder:
     pattern goes on from a letter or digit to punctuation other than an
     apostrophe. So a text's ids are those of its pieces between these places,
     one after the other. A distinct piece goes through the library once and is
-    then found by its 64-bit hash in a table of fixed size (two places for
-    each hash); all pieces of a slice are looked up together. Texts that hold
-    ``<|``, where special tokens depend on case, or very long pieces go through
-    the library whole.
+    then found by its hash in a table of fixed size (two places for each hash),
+    whose own bytes must equal the piece's; all pieces of a slice are looked up
+    together. Texts that hold ``<|``, where special tokens depend on case, or
+    very long pieces go through the library whole.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -67,6 +70,9 @@ class WordEncoder:
         self.end = np.array([end_id], self.dtype).tobytes()
         self.hashes, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
         self.ids, self.used = np.zeros(KEPT_IDS, self.dtype), 0
+        #: The pieces themselves, and where in them each slot's begins and ends.
+        self.bytes, self.filled = np.zeros(KEPT_BYTES, np.uint8), 0
+        self.begin, self.end_of = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
 
     def _library(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces in one array, and where each piece's begin and how many they are."""
@@ -105,30 +111,57 @@ class WordEncoder:
         unsure = np.flatnonzero(self.hashes[slot] != h)
         second = (h[unsure] >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
         slot[unsure] = second
-        missing = unsure[self.hashes[second] != h[unsure]]
+        known = self.hashes[slot] == h
+        known[np.flatnonzero(known)[self._differ(words, np.flatnonzero(known), slot)]] = False
+        missing = np.flatnonzero(~known)
         at, size = self.at[slot], self.size[slot]
         if len(missing):
-            fresh, first, which = np.unique(h[missing], return_index=True, return_inverse=True)
-            begin, end = words.starts[missing[first]], words.ends[missing[first]]
             low = words.low.tobytes()
-            ids, places, sizes = self._library([low[a:b] for a, b in zip(begin.tolist(), end.tolist())])
+            texts = [low[a:b] for a, b in zip(words.starts[missing].tolist(), words.ends[missing].tolist())]
+            fresh: dict[bytes, int] = {}
+            which = np.array([fresh.setdefault(x, len(fresh)) for x in texts], np.int64)
+            first = np.unique(which, return_index=True)[1]
+            ids, places, sizes = self._library(list(fresh))
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(len(ids), self.dtype)])
             places = places + self.used
             self.ids[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
             at[missing], size[missing] = places[which], sizes[which]
-            one, two = (fresh & np.uint64(SLOTS - 1)).astype(np.int64), (fresh >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+            flat = np.frombuffer(b"".join(fresh), np.uint8)
+            lengths = np.array([len(x) for x in fresh], np.int64)
+            begin = np.cumsum(lengths) - lengths + self.filled
+            if self.filled + len(flat) > len(self.bytes):
+                self.bytes = np.concatenate([self.bytes, np.zeros(len(flat), np.uint8)])
+            self.bytes[self.filled : self.filled + len(flat)] = flat
+            self.filled += len(flat)
+            hashes = h[missing[first]]
+            one, two = (hashes & np.uint64(SLOTS - 1)).astype(np.int64), (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
             put = np.where(self.hashes[one] == 0, one, two)
             own = len(put) - 1 - np.unique(put[::-1], return_index=True)[1]  # one of several new pieces in a place
-            self.hashes[put[own]], self.at[put[own]], self.size[put[own]] = fresh[own], places[own], sizes[own]
+            for table, values in ((self.hashes, hashes), (self.at, places), (self.size, sizes), (self.begin, begin), (self.end_of, begin + lengths)):
+                table[put[own]] = values[own]
         return at, size
 
+    def _differ(self, words: Words, which: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Those of the words ``which`` whose bytes are not the ones that their slots hold, as places in ``which``."""
+        if not len(which):
+            return which
+        length, begin = (words.ends - words.starts)[which], self.begin[slot[which]]
+        differ = self.end_of[slot[which]] - begin != length
+        step = np.where(differ, 0, length)
+        ends = np.cumsum(step)
+        nth = np.arange(int(ends[-1])) - np.repeat(ends - step, step)
+        wrong = words.low[np.repeat(words.starts[which], step) + nth] != self.bytes[np.repeat(begin, step) + nth]
+        if wrong.any():
+            differ[np.searchsorted(ends, np.flatnonzero(wrong), side="right")] = True
+        return np.flatnonzero(differ)
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The ids of each text of a slice, ended by the end id."""
-        if self.used > KEPT_IDS // 4 * 3:
-            self.hashes[:], self.used = 0, 0
-            self.ids = self.ids[:KEPT_IDS]
+        if self.used > KEPT_IDS // 4 * 3 or self.filled > KEPT_BYTES // 4 * 3:
+            self.hashes[:], self.used, self.filled = 0, 0, 0
+            self.ids, self.bytes = self.ids[:KEPT_IDS], self.bytes[:KEPT_BYTES]
         low = LOWER[raw]
         edges = np.flatnonzero(_ALNUM[low[:-1]] & _PUNCT[low[1:]]) + 1
         words = Words(np.insert(low, edges, 32), offsets + np.searchsorted(edges, offsets, side="left"), _NOT_SPACE)
@@ -152,6 +185,17 @@ def encoder_of(path: str, end_id: int) -> WordEncoder:
     return WordEncoder(path, end_id)
 
 
+def counter(path: str):
+    """A function from texts to their numbers of tokens, for the workers."""
+
+    def count(texts: list[str]) -> list[int]:
+        encoder = encoder_of(path, 0)
+        ids = encoder.encode(*text_bytes(pa.array(texts, pa.string())))
+        return [len(x) // encoder.ids.itemsize - 1 for x in ids]
+
+    return count
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -267,53 +311,55 @@ def write_token_files(
 
     Returns the manifest: shard, n_ids, n_sequences, n_docs; one row a shard.
     Null text is empty and gives the end id alone. Repeated doc_ids stay, beside
-    each other, ties by text. An empty table gives no shard. ``shard_bytes`` is
-    the text in one shard. Shards are ranges of the first order column, from
-    approximate quantiles; the row order inside comes from a sort in the JVM,
-    which spills, and the writer holds one record batch, so no task's memory
-    grows with the corpus. Only ids (not texts) are shuffled, once.
+    each other, ties by their ids; rows with a null first order column come
+    first. An empty table gives no shard. The first order column is a number.
+    Tasks are ranges of it, at most ``MAX_RANGES``, from approximate quantiles
+    that go to the workers as one array; a range is as many shards as its ids
+    need, of about ``shard_bytes`` of text each. The row order inside comes from
+    a sort in the JVM, which spills, and the writer holds one record batch, so no
+    task's memory grows with the corpus. Only ids (not texts) are shuffled, once.
     """
     spark = prepare(docs.sparkSession)
     key = order[0]
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b"), F.count("*").alias("n")).first()
     if not size["n"]:
         return spark.createDataFrame([], "shard long, n_ids long, n_sequences long, n_docs long")
-    shards = int(max(1, min(size["n"], max(-(-size["b"] // shard_bytes), 3 * parallelism(spark), 1))))
-    probs = [i / shards for i in range(1, shards)]
-    bounds = sorted(set(docs.select(F.percentile_approx(key, probs, 10 * shards).alias("q")).first()["q"] or [])) if probs else []
-    # The number of bounds below a key, by binary search in the JVM: few values, one literal array.
-    if bounds:
-        kind = docs.schema[key].dataType.simpleString()
-        literal = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{kind}>")
-        shard = _rank(literal, F.col(key), len(bounds))
-    else:
-        shard = F.lit(0)
-    ordered = docs.select(F.coalesce(shard, F.lit(0)).cast("long").alias("shard"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], "doc_id", "text")
+    ranges = int(max(1, min(size["n"], MAX_RANGES, max(-(-size["b"] // shard_bytes), 3 * parallelism(spark)))))
+    probs = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(docs.select(F.percentile_approx(key, probs, 10 * ranges).alias("q")).first()["q"] or [])) if probs else []
+    limits = np.array(bounds)
     kept = [f"k{i}" for i in range(len(order))]
+    ordered = docs.select(*[F.col(c).alias(k) for c, k in zip(order, kept)], "doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path, end_id)
         for batch in slices(batches, "text"):
             ids = pa.array(encoder.encode(*text_bytes(batch.column("text"))), pa.binary())
-            yield pa.record_batch([batch.column(c) for c in ("shard", *kept, "doc_id")] + [ids], names=["shard", *kept, "doc_id", "ids"])
+            given = batch.column("k0")
+            # How many limits are below a key; null ones belong to the first range.
+            rank = np.searchsorted(limits, pc.fill_null(given, 0).to_numpy(zero_copy_only=False), side="left") if len(limits) else np.zeros(len(given), np.int64)
+            rank[given.is_null().to_numpy(zero_copy_only=False)] = 0
+            yield pa.record_batch([pa.array(rank, pa.int64()), *[batch.column(c) for c in (*kept, "doc_id")], ids], names=["range", *kept, "doc_id", "ids"])
 
-    coded_schema = ordered.drop("text").schema.add("ids", "binary")
-    coded = ordered.mapInArrow(encode, coded_schema).repartition(shards, "shard").sortWithinPartitions("shard", *kept, "ids")
+    fields = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in (*zip(order, kept), ("doc_id", "doc_id")))
+    coded = ordered.mapInArrow(encode, f"range long, {fields}, ids binary").repartition(ranges, "range").sortWithinPartitions("range", *kept, "ids")
+    shard_ids = max(1, shard_bytes // 4)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = encoder_of(tokenizer_path, end_id).dtype
-        writer, current = None, None
+        writer, current, shard = None, None, 0
 
         def closed() -> pa.RecordBatch:
             writer.close()
-            return pa.record_batch([pa.array([v], pa.int64()) for v in (current, writer.total, writer.sequences, len(writer.docs[0]))], names=["shard", "n_ids", "n_sequences", "n_docs"])
+            return pa.record_batch([pa.array([v], pa.int64()) for v in (shard, writer.total, writer.sequences, len(writer.docs[0]))], names=["shard", "n_ids", "n_sequences", "n_docs"])
 
         for batch in batches:
-            for s, d, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids"))):
-                if s != current:
+            for r, d, ids in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "ids"))):
+                if r != current or writer.total >= shard_ids:
                     if writer:
                         yield closed()
-                    writer, current = ShardWriter(root, s, dtype, length, batch_rows), s
+                    shard = shard + 1 if r == current else r * SHARDS_PER_RANGE
+                    writer, current = ShardWriter(root, shard, dtype, length, batch_rows), r
                 writer.add(d, ids)
         if writer:
             yield closed()
@@ -324,19 +370,6 @@ def write_token_files(
     return spark.createDataFrame([tuple(r) for r in sorted(rows)], "shard long, n_ids long, n_sequences long, n_docs long")
 
 
-def _rank(bounds: Any, value: Any, n: int) -> Any:
-    """How many of n sorted bounds are below the value: a binary search as nested expressions would
-    grow, so it counts in steps of the array's halves."""
-    return F.size(F.filter(bounds, lambda b: b < value)) if n <= 16 else _two_level(bounds, value, n)
-
-
-def _two_level(bounds: Any, value: Any, n: int) -> Any:
-    step = max(2, int(n**0.5))
-    coarse = F.array(*[F.element_at(bounds, i) for i in range(step, n + 1, step)])
-    block = F.size(F.filter(coarse, lambda b: b < value))
-    return block * step + F.size(F.filter(F.slice(bounds, block * step + 1, F.lit(step)), lambda b: b < value))
-
-
 def read_token_files(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
     """Rows doc_id, start, n_tokens, ids_crc32, shard, at, n_sequences read back from the shards."""
     rows = sorted(manifest.collect())
@@ -364,7 +397,11 @@ def read_token_files(spark: SparkSession, root: str, manifest: DataFrame) -> Dat
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, **options: Any) -> DataFrame:
-    """Write the files to a fresh folder of the shared directory and read them back."""
+    """Write the files to a fresh folder of the shared directory and read them back.
+
+    Nulls, ties, repeated rows, empty tables and long texts are as in
+    ``write_token_files``; columns other than doc_id, text and the order's are ignored.
+    """
     spark = prepare(docs.sparkSession)
     root = fresh_path(spark, "tokens")
     return read_token_files(spark, root, write_token_files(docs, root, tokenizer_path, **options))

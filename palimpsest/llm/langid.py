@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import SLICE_BYTES, prepare, slices, text_bytes
 
@@ -21,6 +22,8 @@ from .common import SLICE_BYTES, prepare, slices, text_bytes
 STEPS, HIDDEN = 48, 8
 #: The bounded training sample: documents and bytes of text of each language.
 DOCS_PER_LANG, BYTES_PER_LANG = 400, 2 << 20
+#: Code points of one text in the sample, and languages that are learned, at most.
+SPAN_CHARS, MAX_LANGS = 1 << 16, 256
 UNDETERMINED = "und"
 
 f32 = np.float32
@@ -199,29 +202,36 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG) -> BiGru | None:
+def fit(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG, max_langs: int = MAX_LANGS) -> BiGru | None:
     """Train on rows that aren't held out and have a lang and a letter.
 
     Of each language, the documents least by hash are taken, up to the two
-    bounds; these bounds are all that reaches the driver.
+    bounds, and of a text over ``SPAN_CHARS`` code points one span at a place
+    drawn by its hash, so a language of long texts alone is learned too. Equal
+    rows of one doc_id count once. Languages are the ``max_langs`` most frequent.
+    Twice the documents wanted of each is all that reaches the driver.
     """
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.octet_length("text")).alias("b")).collect()
-    if not sizes:
+    usable = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    size = F.least(F.octet_length("text"), F.lit(SPAN_CHARS))
+    top = usable.groupBy("lang").agg(F.count("*").alias("n"), F.avg(size).alias("b")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not top:
         return None
-    share = F.lit(0.0)
-    for r in sizes:
-        want = min(docs_per_lang, max(1, bytes_per_lang // max(1, r["b"] or 1)))
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2.0 * want / r["n"]))).otherwise(share)
-    draw = (F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) / (1 << 30)).alias("draw")
-    got = rows.select("lang", "text", draw).filter(F.col("draw") < share).filter(F.octet_length("text") <= bytes_per_lang // 4).collect()
-    got.sort(key=lambda r: (r["lang"], r["draw"]))
+    kind = docs.schema["lang"].dataType.simpleString()
+    want = [(r["lang"], min(docs_per_lang, max(1, int(bytes_per_lang // max(1, r["b"]))))) for r in top]
+    shares = docs.sparkSession.createDataFrame([(lang, w, min(1.0, 2.0 * w / r["n"])) for (lang, w), r in zip(want, top)], f"lang {kind}, want int, share double")
+    h = F.xxhash64("doc_id", "text", F.lit("lang"))
+    drawn = usable.select("lang", "text", h.alias("h")).join(F.broadcast(shares), "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    place = F.pmod("h", F.greatest(F.lit(1), F.char_length("text") - SPAN_CHARS + 1)).cast("int") + 1
+    spans = drawn.select("lang", "h", "want", F.substring(F.col("text"), place, F.lit(SPAN_CHARS)).alias("text")).dropDuplicates(["lang", "h"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    got = spans.withColumn("rank", rank).filter("rank <= 2 * want").collect()
+    got.sort(key=lambda r: (r["lang"], r["rank"]))
     taken: dict[str, list[int]] = {}
     samples = []
     for r in got:
         n = taken.setdefault(r["lang"], [0, 0])
         size = len(r["text"].encode())
-        if n[0] < docs_per_lang and n[1] + size <= bytes_per_lang:
+        if n[0] < docs_per_lang and (n[1] + size <= bytes_per_lang or not n[0]):
             n[0] += 1
             n[1] += size
             samples.append((r["text"], r["lang"]))
@@ -229,8 +239,13 @@ def fit(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang:
 
 
 def identify(docs: DataFrame, model: BiGru | None) -> DataFrame:
-    """Per document: doc_id, lang_pred, score. ``und`` with score 0 where the text is null or has no letter,
-    or where nothing could be learned. One narrow pass; whole texts of any length in bounded slices."""
+    """Per document: doc_id, lang_pred, score.
+
+    ``und`` with score 0 where the text is null, empty or without a letter, or
+    where nothing could be learned; of languages with one probability the first
+    by name. Repeated rows and doc_ids give a row each, an empty table none;
+    other columns are ignored. One narrow pass; whole texts of any length.
+    """
     prepare(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -254,17 +269,23 @@ def identify(docs: DataFrame, model: BiGru | None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: BiGru | None, min_score: float) -> DataFrame:
     """The documents, with all their columns, that have a letter and whose best language has at least ``min_score``.
-    One narrow filter; where nothing could be learned no document is kept."""
+
+    Null and empty texts go. Each row is judged by itself, so repeated ones stay
+    or go together. One narrow filter; where nothing could be learned no document
+    is kept.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    marked = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    names, mark = docs.columns, "letter"
+    while mark in names:
+        mark += "_"
+    marked = docs.withColumn(mark, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in slices(batches, "text", SLICE_BYTES):
-            letter = batch.column("__letter").to_numpy(zero_copy_only=False)
+            letter = batch.column(mark).to_numpy(zero_copy_only=False)
             sure = net.pooled(*text_bytes(batch.column("text"))).max(1, initial=0) >= min_score if net is not None else np.zeros(batch.num_rows, bool)
             yield batch.select(names).filter(pa.array(letter & sure))
 
-    names = docs.columns
     return marked.mapInArrow(keep, docs.schema)

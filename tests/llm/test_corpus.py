@@ -249,11 +249,15 @@ def test_trie_against_dict():
     keys = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 9))) for _ in range(400)})
     trie, plain = exactdedup.Trie(), {}
     for i, k in enumerate(rng.choices(keys, k=2000)):
-        assert trie.upsert(k, i + 1) == plain.setdefault(k, i + 1)
+        assert trie.insert(k, i + 1) == plain.setdefault(k, i + 1)
     assert all(trie.get(k) == plain.get(k) for k in keys)
-    trie.drop_before(b"b")
+    assert sorted(trie.spill_before(b"b")) == sorted(v for k, v in plain.items() if k and k < b"b")
     assert all(trie.get(k) == plain.get(k) for k in keys if k >= b"b")
     assert all(trie.get(k) is None for k in keys if k and k < b"b")
+    left = {k: v for k, v in plain.items() if not k or k >= b"b"}
+    gone = dict(trie.spill(trie.bytes // 2))
+    assert gone and gone.items() <= left.items() and not any(trie.get(k) for k in gone)
+    assert dict(trie.rest()) == {k: v for k, v in left.items() if k not in gone} and trie.bytes == 0
 
 
 # -- 6 mixing -------------------------------------------------------------------------------------------------------------

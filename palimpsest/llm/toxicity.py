@@ -10,6 +10,7 @@ misspelling that was never seen shares most n-grams with its word.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from .common import Words, mixed, prepare, slices, text_bytes
 from .langid import held_out
 
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (3, 4, 5)
+#: Bytes of one word, and of a text that are read at once, at most.
+WORD_LIMIT, PIECE_BYTES = 4096, 1 << 20
 #: Words in a window, and between the starts of two.
 WINDOW, STRIDE = 24, 12
 #: The bounded training sample: rows of each label, and bytes of text of all.
@@ -30,6 +33,20 @@ _TABLES = np.random.default_rng(99).integers(0, 2**63, (max(NGRAMS), 256), dtype
 _OPEN, _CLOSE = 1, 2  # bytes that no word has
 
 
+def _words(raw: np.ndarray, offsets: np.ndarray) -> Words:
+    """The words of texts; a run of over ``WORD_LIMIT`` word bytes counts as several words."""
+    words = Words(raw, offsets)
+    sizes = words.ends - words.starts
+    if sizes.max(initial=0) > WORD_LIMIT:
+        parts = -(-sizes // WORD_LIMIT)
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, ends, doc = np.repeat(words.starts, parts) + nth * WORD_LIMIT, np.repeat(words.ends, parts), np.repeat(words.doc, parts)
+        words.starts, words.ends, words.doc = starts, np.minimum(ends, starts + WORD_LIMIT), doc
+        words.n_words = np.bincount(doc, minlength=len(offsets) - 1)
+        words.first = np.concatenate([[0], np.cumsum(words.n_words)])
+    return words
+
+
 def units(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word) of every unit, in no order that matters."""
     n = len(words)
@@ -89,17 +106,47 @@ class Scorer:
         self.weights, self.bias = weights, bias
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        words = Words(raw, offsets)
+        """Probability of toxic of each text; texts over ``PIECE_BYTES`` are read in pieces, so memory is bounded."""
+        sizes = np.diff(offsets)
+        if sizes.max(initial=0) <= PIECE_BYTES:
+            best = self._logits(_words(raw, offsets))
+        else:
+            parts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            best = np.array([self._long(p) if len(p) > PIECE_BYTES else self._logits(_words(p, np.array([0, len(p)])))[0] for p in parts])
+        return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
+
+    def _logits(self, words: Words) -> np.ndarray:
+        """The logit of each text's most toxic window."""
         bucket, owner = units(words)
         sums = np.concatenate([[0.0], np.cumsum(np.bincount(owner, self.weights[bucket], len(words)))])
         counts = np.concatenate([[0.0], np.cumsum(np.bincount(owner, minlength=len(words)))])
         begin, end, text = _windows(words)
         logits = (sums[end] - sums[begin]) / np.maximum(1, counts[end] - counts[begin]) + self.bias
-        best = np.full(len(offsets) - 1, self.bias)
-        seen = np.unique(text)
+        best = np.full(len(words.n_words), self.bias)
         if len(text):
-            best[seen] = np.maximum.reduceat(logits, np.flatnonzero(np.diff(text, prepend=-1)))
-        return 1 / (1 + np.exp(-np.clip(best, -30, 30)))
+            best[np.unique(text)] = np.maximum.reduceat(logits, np.flatnonzero(np.diff(text, prepend=-1)))
+        return best
+
+    def _long(self, raw: np.ndarray) -> float:
+        """The same for one long text. A piece's whole windows are rated; the next piece begins where the next window does."""
+        best, at, size = None, 0, PIECE_BYTES
+        while True:
+            end = min(len(raw), at + size)
+            words = _words(raw[at:end], np.array([0, end - at]))
+            last = end == len(raw)
+            whole = (len(words) - 1 - WINDOW) // STRIDE + 1  # the last word may be cut
+            if not last and whole < 1:
+                size *= 2  # hardly a word in it
+                continue
+            if not last:
+                stop, following = int(words.ends[(whole - 1) * STRIDE + WINDOW - 1]), int(words.starts[whole * STRIDE])
+                words = _words(raw[at : at + stop], np.array([0, stop]))
+            if len(words) > (WINDOW - STRIDE if at else 0):  # fewer are part of the window before
+                got = float(self._logits(words)[0])
+                best = got if best is None else max(best, got)
+            if last:
+                return self.bias if best is None else best
+            at, size = at + following, PIECE_BYTES
 
 
 def train(samples: list[tuple[str, int]], *, rounds: int = 8, batch: int = 64, rate: float = 0.5, seed: int = 13) -> Scorer:
@@ -115,10 +162,10 @@ def train(samples: list[tuple[str, int]], *, rounds: int = 8, batch: int = 64, r
     # Units of all texts once, by word, to be cut into windows.
     texts = []
     for t, _ in samples:
-        words = Words(*text_bytes(pa.array([t])))
+        words = _words(*text_bytes(pa.array([t])))
         bucket, owner = units(words)
         order = np.argsort(owner, kind="stable")
-        texts.append((bucket[order], np.searchsorted(owner[order], np.arange(len(words) + 1)), _windows(words)))
+        texts.append((bucket[order].astype(np.int32), np.searchsorted(owner[order], np.arange(len(words) + 1)), _windows(words)))
     se, sv, sb = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     steps = max(30, max(len(g) for g in groups) * 2 // batch)
     for t in range(rounds * steps):
@@ -167,34 +214,42 @@ def train(samples: list[tuple[str, int]], *, rounds: int = 8, batch: int = 64, r
 def fit(docs: DataFrame, labels: DataFrame, *, rows_per_label: int = ROWS_PER_LABEL, sample_bytes: int = SAMPLE_BYTES) -> Scorer:
     """Train on labelled rows that aren't held out: of each label those least by hash, up to the two bounds.
 
-    Sizes come first, so the texts that reach the driver are within the bounds.
-    A doc_id with several labels counts by its largest; null labels don't count.
+    Sizes come first, one for each labelled doc_id, so the texts that reach the
+    driver are within the bounds. Of a doc_id with several texts the shortest
+    counts, ties by hash; one with several labels counts by its largest. Null
+    labels, doc_ids and texts don't count. Without labels all texts score alike.
     """
-    marked = labels.filter(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = []
     for y in (0, 1):
-        drawn += marked.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit("tox"))).limit(rows_per_label).collect()
+        drawn += marked.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id", F.lit("tox")), "doc_id").limit(rows_per_label).collect()
     if not drawn:
         return train([])
     ids = docs.sparkSession.createDataFrame(drawn, marked.schema)
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    told = docs.select("doc_id", "text", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h")).filter(F.col("text").isNotNull())
+    texts = told.select("doc_id", "n", "h").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("n", "h")).alias("s"), F.max("toxic").alias("toxic"))
+    sizes = texts.select("doc_id", "s.n", "s.h", "toxic").collect()
     share = sample_bytes // max(1, len(drawn))
-    sizes = texts.select("doc_id", F.octet_length("text").alias("n")).collect()
-    room, fits = sample_bytes, set()
-    for r in sorted(sizes, key=lambda r: (r["n"] > 8 * share, hash(r["doc_id"]) & 0xFFFF, r["doc_id"])):
+    room, fits = sample_bytes, []
+    for r in sorted(sizes, key=lambda r: (r["n"] > 8 * share, zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]))):
         if r["n"] <= room:
             room -= r["n"]
-            fits.add(r["doc_id"])
+            fits.append(tuple(r))
     if not fits:
         return train([])
-    small = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in drawn if r["doc_id"] in fits], f"doc_id {marked.schema['doc_id'].dataType.simpleString()}")
-    rows = texts.join(F.broadcast(small), "doc_id").select("doc_id", "text", "toxic").collect()
-    return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))])
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    small = docs.sparkSession.createDataFrame(fits, f"doc_id {kind}, n int, h long, toxic int")
+    rows = told.join(F.broadcast(small), ["doc_id", "n", "h"]).groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).collect()
+    return train([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: str(r["doc_id"]))])
 
 
 def score(docs: DataFrame, model: Scorer) -> DataFrame:
-    """Per document: doc_id, score (0 to 1), predicted (1 from 0.5). Null and empty texts get the score of no evidence.
-    One narrow pass over whole texts."""
+    """Per document: doc_id, score (0 to 1), predicted (1 from 0.5).
+
+    Null and empty texts get the score of no evidence. Repeated rows and doc_ids
+    give a row each, an empty table none; other columns are ignored. One narrow
+    pass over whole texts of any length, in bounded memory.
+    """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 

@@ -24,8 +24,8 @@ U64 = np.uint64
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what the operators rely on: small Arrow batches and a checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset,
-    as in tests, is a folder under /tmp used.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset and
+    the master is local, as in tests, is a folder under /tmp used.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     # Workers find this package where the driver did, if it wasn't shipped to them.
@@ -35,9 +35,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share, as a URI or path."""
+    """Folder that the driver and all executors share, as a URI or path. Without a setting there is one only where all is on one machine."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = "/tmp/checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)

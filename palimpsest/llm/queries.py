@@ -13,6 +13,8 @@ from . import chat, decontam, exactdedup, html, langid, mixing, simhash, tokens,
 
 #: File of the tokenizer that the token query uses.
 TOKENIZER = "word_bpe_49k.json"
+#: Target weights of the mix, relative; sources without one weigh 1. Fixed values.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 3.0, "src2": 2.0, "src3": 0.5}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +48,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).drop("text")
+    return mixing.mix(docs, weights=MIX_WEIGHTS).drop("text")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.listed_table(spark, urlfilter.LISTED), urlfilter.RULES).drop("listed")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.listed_table(spark, urlfilter.LISTED, urlfilter.NUMBERED), urlfilter.RULES).drop("listed")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], T.StructType([T.StructField(f.name, f.dataType) for f in turns.schema]))
-    return chat.digests(chat.format_chats(turns.unionByName(extra)))
+    return chat.digests(chat.format_chats(turns.unionByName(extra), count=tokens.counter(public_tokenizers.path(TOKENIZER))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -102,8 +104,13 @@ ORACLE_SQL: dict[str, str] = {
                 coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}'), '') AS host,
                 coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
         r AS (SELECT * FROM (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)}) t(h, p, v)),
-        l AS (SELECT * FROM (VALUES {", ".join(f"('{e[:-1]}')" for e in urlfilter.LISTED)}) t(l)),
+        l AS (SELECT * FROM (VALUES {", ".join(f"('{e[:-1]}')" for e in urlfilter.LISTED)}) t(l)
+              UNION ALL SELECT printf('listed-%06d.example.org', i) FROM range({urlfilter.NUMBERED}) n(i)),
+        lu AS (SELECT printf('pages.example.org/en/%06d', i) AS lu FROM range({urlfilter.NUMBERED}) n(i)),
+        b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':\\d*$', ''), '\\.+$', ''), '^www\\.', '') AS bare FROM u),
+        c AS (SELECT page_id, host, path, bare || regexp_replace(path, '/+$', '') AS own, unnest(list_transform(range(1, len(string_split(bare, '.')) + 1), i -> array_to_string(string_split(bare, '.')[i:], '.'))) AS suffix FROM b),
+        k AS (SELECT DISTINCT page_id, host, path FROM c WHERE host <> '' AND (suffix IN (SELECT l FROM l) OR own IN (SELECT lu FROM lu))),
         f AS (SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS ruled
               FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
-        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN EXISTS (SELECT 1 FROM l WHERE host = l OR ends_with(host, '.' || l)) THEN 'block' ELSE 'allow' END) AS verdict FROM f""",
+        SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN k.page_id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict FROM f LEFT JOIN k USING (page_id, host, path)""",
 }

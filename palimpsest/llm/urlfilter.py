@@ -13,15 +13,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import materialize, prepare
 
 #: Rules as (host, path, verdict); fixed values of the query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Listed hosts and URLs of the query; fixed values.
-LISTED = ("spam-farm.example.org/", "spam-farm.example.com/", "spam-farm.example.net/", "adult-x.example.org/", "adult-x.example.com/", "adult-x.example.net/")
+#: Listed hosts of the query: each family in each domain. Fixed values, a stand-in for a published list.
+FAMILIES, DOMAINS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("example.com", "example.net", "example.org")
+LISTED = tuple(f"{family}.{domain}/" for family in FAMILIES for domain in DOMAINS)
+#: Further entries of the query's list by rule, as many hosts as single URLs, so that the filter is as full as a real list's.
+NUMBERED = 50_000
 
 BLOCK_WORDS = 8  # 64-bit words of a block, one cache line
 PROBES = 8  # bits set by a key, one in each word
@@ -34,8 +37,8 @@ _SALT = np.random.default_rng(17).integers(0, 2**63, PROBES, dtype=np.uint64) *
 class BlockedBloom:
     """Every key sets one bit in each word of one block. ``h`` are 64-bit hashes."""
 
-    def __init__(self, blocks: int):
-        self.words = np.zeros((max(1, blocks), BLOCK_WORDS), np.uint64)
+    def __init__(self, blocks: int, of: int | None = None):
+        self.words, self.of = np.zeros((max(1, blocks), BLOCK_WORDS), np.uint64), of or max(1, blocks)
 
     @staticmethod
     def for_keys(n: int, bits_per_key: int = 12, limit: int = MAX_FILTER_BYTES) -> BlockedBloom:
@@ -44,14 +47,15 @@ class BlockedBloom:
 
     def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = h.astype(np.int64).view(np.uint64)
-        block = ((h >> U64(32)) * U64(len(self.words)) >> U64(32)).astype(np.int64)
+        block = ((h >> U64(32)) * U64(self.of) >> U64(32)).astype(np.int64)
         bits = U64(1) << ((h[:, None] * _SALT) >> U64(58))
         return block, bits
 
-    def add(self, h: np.ndarray) -> None:
+    def add(self, h: np.ndarray, first: int = 0) -> None:
+        """Add keys. ``first`` is the number of this filter's first block where it is a part of a larger one."""
         block, bits = self._places(h)
         for j in range(BLOCK_WORDS):
-            np.bitwise_or.at(self.words[:, j], block, bits[:, j])
+            np.bitwise_or.at(self.words[:, j], block - first, bits[:, j])
 
     def may_have(self, h: np.ndarray) -> np.ndarray:
         block, bits = self._places(h)
@@ -83,36 +87,52 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return name, verdict
 
 
-def listed_table(spark, entries: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(e,) for e in dict.fromkeys(entries)], "listed string")
+def listed_table(spark: SparkSession, entries: Sequence[str], numbered: int = 0) -> DataFrame:
+    """A list as a table: the entries, and as many numbered hosts and numbered URLs as said."""
+    made = spark.createDataFrame([(e,) for e in dict.fromkeys(entries)], "listed string")
+    name = F.format_string("listed-%06d.example.org/", "id")
+    rows = spark.range(numbered).select(F.explode(F.array(name, F.format_string("pages.example.org/en/%06d", "id"))).alias("listed"))
+    return made.unionByName(rows) if numbered else made
+
+
+def _filter_of(keys: DataFrame, n: int) -> BlockedBloom:
+    """The filter of ``keys(listed)``, made on the executors: each part of the blocks by one task, which keeps no others."""
+    bloom = BlockedBloom.for_keys(n)
+    blocks, parts = bloom.of, min(64, bloom.of)
+    h = keys.select(F.xxhash64("listed").alias("h"))
+    # The block of a key, as in BlockedBloom, says which part it is in.
+    part = F.floor(F.shiftright(F.shiftrightunsigned("h", 32) * blocks, 32) * parts / blocks).cast("int")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, BlockedBloom] = {}
+        for batch in batches:
+            which, keys_ = batch.column("part").to_numpy(), batch.column("h").to_numpy()
+            for p in np.unique(which).tolist():
+                first, end = -(-p * blocks // parts), -(-(p + 1) * blocks // parts)
+                made.setdefault(p, BlockedBloom(end - first, blocks)).add(keys_[which == p], first)
+        if made:
+            yield pa.record_batch([pa.array(list(made), pa.int32()), pa.array([b.words.tobytes() for b in made.values()], pa.binary())], names=["part", "words"])
+
+    for r in h.withColumn("part", part).repartition(parts, "part").mapInArrow(build, "part int, words binary").toLocalIterator():
+        first = -(-r["part"] * blocks // parts)
+        words = np.frombuffer(bytes(r["words"]), np.uint64).reshape(-1, BLOCK_WORDS)
+        bloom.words[first : first + len(words)] = words
+    return bloom
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """Per page: page_id, host, path, rule, verdict, listed (the entry that blocks it, if the method did).
+    """Per page: page_id, host, path, rule, verdict, listed (the longest entry that blocks it, if the method did).
 
     A page whose url is null or has no :// has an empty host and path, no rule
-    and verdict allow. Repeated page_ids give a row each. An empty list blocks
-    nothing beyond the rules. The filter is built on the executors, united by
-    or, and bounded in size whatever the list's; the list is joined by a
-    shuffle (or broadcast, where Spark finds it small).
+    and verdict allow. Repeated page_ids and rows give a row each, an empty table
+    none; other columns are ignored, whatever their names. An empty list blocks
+    nothing beyond the rules; null entries don't count. The filter is made on
+    the executors and bounded in size whatever the list's. What it lets pass is
+    written once; the distinct strings of that meet the list.
     """
     spark = prepare(pages.sparkSession)
     keys = listed.filter("listed is not null").select("listed").distinct()
-    n = keys.count()
-    bloom = BlockedBloom.for_keys(n)
-    blocks = len(bloom.words)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = BlockedBloom(blocks)
-        for batch in batches:
-            own.add(batch.column("h").to_numpy())
-        used = np.flatnonzero(own.words.any(1))
-        yield pa.record_batch([pa.array(used, pa.int64()), pa.array([own.words[i].tobytes() for i in used], pa.binary())], names=["block", "words"])
-
-    parts = keys.select(F.xxhash64("listed").alias("h")).coalesce(64).mapInArrow(build, "block long, words binary")
-    for r in parts.toLocalIterator():
-        bloom.words[r["block"]] |= np.frombuffer(bytes(r["words"]), np.uint64)
-    shared = spark.sparkContext.broadcast(bloom)
+    shared = spark.sparkContext.broadcast(_filter_of(keys, keys.count()))
 
     url = F.col("url")
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
@@ -136,17 +156,11 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
 
     page_type = pages.schema["page_id"].dataType.simpleString()
     probed = base.mapInArrow(probe, f"page_id {page_type}, host string, path string, rule string, ruled string, hits array<string>")
+    probed = materialize(probed.withColumn("row", F.monotonically_increasing_id()), "urls")
     # The distinct strings that passed, not their pages, meet the list; the pages then meet what is really on it.
-    real = probed.select(F.explode("hits").alias("listed")).distinct().join(keys, "listed", "left_semi")
-    size = F.size("hits")
-    # One place for a page's candidate of each rank: most pages have at most one hit.
-    rows = probed.withColumn("row", F.monotonically_increasing_id())
-    none = rows.filter(size == 0).select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("listed"))
-    some = rows.filter(size > 0).select("page_id", "host", "path", "rule", "row", F.explode("hits").alias("hit"))
-    met = some.join(real.withColumnRenamed("listed", "hit").withColumn("yes", F.lit(True)), "hit", "left")
-    judged = met.groupBy("row").agg(
-        *[F.first(c).alias(c) for c in ("page_id", "host", "path", "rule")],
-        F.max_by(F.when(F.col("yes"), F.col("hit")), F.when(F.col("yes"), F.length("hit"))).alias("listed"),
-    )
-    judged = judged.select("page_id", "host", "path", "rule", F.when(F.col("listed").isNotNull(), "block").otherwise("allow").alias("verdict"), "listed")
-    return none.union(judged)
+    some = probed.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("hit"))
+    real = keys.withColumnRenamed("listed", "hit").join(some.select("hit").distinct(), "hit", "left_semi")
+    blocked = some.join(real, "hit").groupBy("row").agg(F.max_by("hit", F.length("hit")).alias("listed"))
+    judged = probed.join(blocked, "row", "left")
+    verdict = F.coalesce("ruled", F.when(F.col("listed").isNotNull(), "block"), F.lit("allow"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")

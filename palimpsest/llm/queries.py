@@ -108,7 +108,8 @@ ORACLE_SQL: dict[str, str] = {
               UNION ALL SELECT printf('listed-%06d.example.org', i) FROM range({urlfilter.NUMBERED}) n(i)),
         lu AS (SELECT printf('pages.example.org/en/%06d', i) AS lu FROM range({urlfilter.NUMBERED}) n(i)),
         b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^[^@]*@', ''), ':\\d*$', ''), '\\.+$', ''), '^www\\.', '') AS bare FROM u),
-        c AS (SELECT page_id, host, path, bare || regexp_replace(path, '/+$', '') AS own, unnest(list_transform(range(1, len(string_split(bare, '.')) + 1), i -> array_to_string(string_split(bare, '.')[i:], '.'))) AS suffix FROM b),
+        p AS (SELECT page_id, host, path, bare || regexp_replace(path, '/+$', '') AS own, string_split(bare, '.') AS parts FROM b),
+        c AS (SELECT page_id, host, path, own, array_to_string(parts[i:], '.') AS suffix FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p)),
         k AS (SELECT DISTINCT page_id, host, path FROM c WHERE host <> '' AND (suffix IN (SELECT l FROM l) OR own IN (SELECT lu FROM lu))),
         f AS (SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS ruled
               FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)

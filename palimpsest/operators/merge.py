@@ -75,7 +75,11 @@ def merged(spark: SparkSession, catalog: Catalog, state: TableState, keys: bool
     if not state.segments:
         return adapt(catalog.base(state.base).read(spark, keys), state, keys)
     base = catalog.base(state.base).read(spark, True)
-    clean = without_keys(base, overlay_keys(state), state.key_columns, state.rows, state.null_keys)
+    changed, on = overlay_keys(state), state.key_columns
+    if not state.meta.pk and catalog.one_file(state.base):
+        # In one file a row's place is its number: no file name is read, and the join is on one long.
+        changed, on = changed.filter(~F.col(on[0]).startswith("+")).select(on[1]), on[1:]
+    clean = without_keys(base, changed, on, state.rows, state.null_keys)
     out = adapt(clean, state, keys)
     return out if images is None else images.unionByName(out)
 

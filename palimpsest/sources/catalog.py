@@ -55,6 +55,14 @@ class Catalog:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.bases: dict[str, Base] = {}
+        self._single: dict[str, bool] = {}
+
+    def one_file(self, name: str) -> bool:
+        """Whether a base table is one file; found once."""
+        base = self.base(name)
+        if base.name not in self._single:
+            self._single[base.name] = base.path is not None and base.frame is None and base.format == "parquet" and len(base.read(self.spark).inputFiles()) == 1
+        return self._single[base.name]
 
     def register(
         self, name: str, path: str | None = None, *, frame: DataFrame | None = None, format: str = "parquet", pk: Sequence[str] = (), fks: Sequence[ForeignKey] = (),

@@ -269,10 +269,11 @@ def test_pfair_stays_within_one_block():
     assert sorted((s, i) for s, i, *_ in plan) == sorted((s, i) for s, n in blocks.items() for i in range(n))
     assert [p[2] for p in plan] == list(range(len(plan)))
     active, given, start = dict(blocks), dict.fromkeys(blocks, 0), 0
-    for s, _, slot, release, due in plan:
+    for s, _, slot, release, due, lag in plan:
         assert release <= slot < due
         given[s] += 1
         total = sum(weights[k] for k in active)
+        assert abs(lag - (given[s] - (slot + 1 - start) * weights[s] / total)) < 1e-9
         for k in active:
             assert abs(given[k] - (slot + 1 - start) * weights[k] / total) < 1
         active[s] -= 1

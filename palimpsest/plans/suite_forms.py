@@ -104,7 +104,8 @@ STATES = {
         ("UPDATE t SET name = NULL WHERE id = 1", "23502"), ("UPDATE t SET age = age - 10 WHERE id = 1", "23514"), ("UPDATE t SET mail = 'm1' WHERE id = 2", "23505"), ("UPDATE t SET mail = 'm2' WHERE id = 2", "00000"), ("INSERT INTO t VALUES (9, 'z', 'm1', 1, 8, 9) ON CONFLICT DO NOTHING", "00000"),
         ("INSERT INTO t VALUES (1, 'z', 'm2', 1, 8, 9) ON CONFLICT (id) DO UPDATE SET mail = EXCLUDED.mail", "23505"), ("ALTER TABLE t ALTER COLUMN mail SET NOT NULL", "23502"), ("ALTER TABLE t ADD CONSTRAINT old CHECK (age > 3)", "23514"), ("ALTER TABLE t ADD CONSTRAINT big CHECK (age < 99)", "00000"),
         ("UPDATE t SET age = 100 WHERE id = 1", "23514"), ("ALTER TABLE t DROP CONSTRAINT big", "00000"), ("UPDATE t SET age = 100 WHERE id = 1", "00000"), ("ALTER TABLE t RENAME COLUMN age TO years", "00000"), ("UPDATE t SET years = -5 WHERE id = 1", "23514"), ("ALTER TABLE t ALTER COLUMN name DROP NOT NULL", "00000"),
-        ("UPDATE t SET name = NULL WHERE id = 1", "00000"), ("ALTER TABLE nation ALTER COLUMN n_name SET NOT NULL", "00000"), ("INSERT INTO nation VALUES (100, NULL, 1)", "23502"), ("INSERT INTO nation VALUES (100, 'x', 1)", "00000"),
+        ("UPDATE t SET name = NULL WHERE id = 1", "00000"), ("ALTER TABLE nation ALTER COLUMN n_name SET NOT NULL", "00000"), ("INSERT INTO nation VALUES (100, NULL, 1)", "23502"), ("INSERT INTO nation VALUES (100, 'x', 1)", "00000"), ("ALTER TABLE t ADD CONSTRAINT twice UNIQUE (high)", "23505"),
+        ("ALTER TABLE t ADD CONSTRAINT once UNIQUE (low)", "00000"),
     ),
     "statement_states": (
         ("MERGE INTO nation AS t USING (SELECT 1 AS k, 'a' AS n UNION ALL SELECT 1, 'b') AS s ON t.n_nationkey = s.k WHEN MATCHED THEN UPDATE SET n_name = s.n", "21000"), ("WITH gone AS (DELETE FROM nation RETURNING *) SELECT * FROM gone", "0A000"), ("SELECT * FROM missing", "42P01"),

@@ -39,9 +39,10 @@ def raw(field: str) -> Column:
 
 
 class Value:
-    """Type tests and typed readings of one field, or of any VARIANT column."""
+    """Type tests and typed readings of one field, or of any VARIANT column; its rank may be given as a column of its own."""
 
-    def __init__(self, field: str | Column):
+    def __init__(self, field: str | Column, rank: Column | None = None):
+        self._rank = rank
         self.v = raw(field) if isinstance(field, str) else field
         self.kind = F.coalesce(F.schema_of_variant(self.v), F.lit(""))
         get = lambda p, t: F.try_variant_get(self.v, p, t)
@@ -53,6 +54,8 @@ class Value:
     @property
     def rank(self) -> Column:
         """The type's place in the order; 0 if the field is missing."""
+        if self._rank is not None:
+            return self._rank
         r = F.when(self.v.isNull(), 0).when(F.is_variant_null(self.v), RANKS["null"]).when(self.kind == "BOOLEAN", RANKS["bool"])
         r = r.when(self.number.isNotNull(), RANKS["number"]).when(self.kind == "STRING", RANKS["string"]).when(self.kind.startswith("ARRAY"), RANKS["array"])
         for k in ("timestamp", "bytes", "ref", "geo"):
@@ -222,17 +225,25 @@ class Documents:
         rows = self.rows().filter((c == collection) | c.endswith("/" + collection) if group else c == collection)
         if filter is not None:
             rows = rows.filter(where(filter))
-        for field, _ in order:
-            if field != "__name__":
-                rows = rows.filter(raw(field).isNotNull())
-        keys = [(F.col("path") if f == "__name__" else Value(f).order) for f, _ in order]
-        sort = [k.desc() if d.lower().startswith("desc") else k.asc() for k, (_, d) in zip(keys, order)]
         if order or limit is not None or offset:
+            shown = rows.columns
+            # Values, their ranks and keys are columns, each made once for a row; in the sort they would be made again for each comparison.
+            fields = {i: f for i, (f, _) in enumerate(order) if f != "__name__"}
+            rows = rows.select("*", *[raw(f).alias(f"__value{i}") for i, f in fields.items()])
+            for i in fields:
+                rows = rows.filter(F.col(f"__value{i}").isNotNull())
+            rows = rows.select("*", *[Value(F.col(f"__value{i}")).rank.alias(f"__rank{i}") for i in fields])
+            rows = rows.select(*shown, *[Value(F.col(f"__value{i}"), F.col(f"__rank{i}")).order.alias(f"__key{i}") for i in fields])
+            keys = [F.col(f"__key{i}") if i in fields else F.col("path") for i in range(len(order))]
+            sort = [k.desc() if d.lower().startswith("desc") else k.asc() for k, (_, d) in zip(keys, order)]
             down = bool(order) and order[-1][1].lower().startswith("desc")
             rows = rows.orderBy(*sort, F.col("path").desc() if down else F.col("path").asc())
-        if offset:
-            rows = rows.offset(offset)
-        return rows if limit is None else rows.limit(limit)
+            if offset:
+                rows = rows.offset(offset)
+            if limit is not None:
+                rows = rows.limit(limit)
+            rows = rows.select(*shown)
+        return rows
 
     def aggregate(self, collection: str, aggregations: Sequence[tuple[str, str | None, str | None]], filter: Any = None) -> DataFrame:
         """(COUNT | SUM | AVG, field, alias): sums skip what isn't a number and are 0 without any; averages are null."""

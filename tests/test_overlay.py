@@ -6,6 +6,7 @@ import json
 import pathlib
 import random
 import uuid
+from fractions import Fraction
 
 import pytest
 
@@ -383,3 +384,21 @@ def test_document_order_makes_keys_once_for_a_row(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     (sort,) = [line for line in plan.splitlines() if "Sort [" in line]
     assert "variant" not in sort and "CASE" not in sort
+
+
+def test_top_percent_is_not_one_task(spark):
+    d = Database(spark)
+    d.register("t", frame=spark.range(0, 1001, 1, 8).selectExpr("id", "(id * 7919) % 1009 AS p", "CAST(id % 3 AS STRING) AS g"), pk=["id"])
+    s = d.session()
+    order = sorted(((i * 7919 % 1009, i) for i in range(1001)), reverse=True)
+    for n in ("10", "(0.05)", "33.3", "100", "0"):
+        found = s.sql(f"WITH u AS (SELECT * FROM t) SELECT TOP {n} PERCENT id, id AS id, p + 1 AS q FROM u ORDER BY p DESC")
+        want = [(i, i, p + 1) for p, i in order[: -(-int(Fraction(n.strip("()")) * 1001 * 1000) // 100000)]]
+        assert found.columns == ["id", "id", "q"] and [tuple(r) for r in found.collect()] == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SinglePartition" not in plan
+    # Equal rows are counted one by one; a table without rows gives none; nested and typeless columns go the other way.
+    assert [r[0] for r in s.sql("SELECT TOP 50 PERCENT g FROM t ORDER BY g").collect()] == ["0"] * 334 + ["1"] * 167
+    assert s.sql("SELECT TOP 50 PERCENT id FROM t WHERE id < 0 ORDER BY id").collect() == []
+    assert s.sql("SELECT count(*) FROM (SELECT TOP 50 PERCENT id FROM t ORDER BY id) x").first()[0] == 501
+    assert s.sql("SELECT TOP 1 PERCENT id, NULL AS n FROM t ORDER BY id").count() == 11

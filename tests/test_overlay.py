@@ -402,3 +402,23 @@ def test_top_percent_is_not_one_task(spark):
     assert s.sql("SELECT TOP 50 PERCENT id FROM t WHERE id < 0 ORDER BY id").collect() == []
     assert s.sql("SELECT count(*) FROM (SELECT TOP 50 PERCENT id FROM t ORDER BY id) x").first()[0] == 501
     assert s.sql("SELECT TOP 1 PERCENT id, NULL AS n FROM t ORDER BY id").count() == 11
+
+
+def test_slices_of_ordered_aggregates_collect_no_group(spark):
+    d = Database(spark)
+    d.register("t", frame=spark.range(0, 600, 1, 8).selectExpr("id", "IF(id % 4 = 3, NULL, id % 4) AS g", "IF(id % 11 = 0, NULL, (id * 7919) % 101) AS p"), pk=["id"])
+    s = d.session()
+    rows = [(i, None if i % 4 == 3 else i % 4, None if i % 11 == 0 else i * 7919 % 101) for i in range(600)]
+    want = set()
+    for g in (0, 1, 2, None):
+        mine = [r for r in rows if r[1] == g]
+        down = [r[0] for r in sorted((r for r in mine if r[0] > 60 and g != 2), key=lambda r: (r[2] is not None, -(r[2] or 0), r[0]))]
+        want.add((g, len(mine), tuple(down[1:5]) if g != 2 else None, ",".join(str(r[2]) for r in sorted((r for r in mine if r[2] is not None), key=lambda r: r[2])[:3])))
+    q = "SELECT g, count(*) AS n, slice(array_agg(id ORDER BY p DESC, id) FILTER (WHERE id > 60 AND g <> 2 OR g IS NULL AND id > 60), 2, 4) AS a, array_join(slice(list(p), 1, 3), ',') AS b FROM t GROUP BY g"
+    found = s.sql(q)
+    assert {(r[0], r[1], tuple(r[2]) if r[2] else None, r[3]) for r in found.collect()} == want
+    # Each task keeps the first rows of a group before they meet.
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("WindowGroupLimit") == 2
+    # Other forms stay as they are.
+    assert s.sql("SELECT slice(array_agg(id ORDER BY id), 1, 2) AS a FROM t").first()[0] == [0, 1]
+    assert [tuple(r) for r in s.sql("SELECT g, size(array_agg(id ORDER BY id)) AS a FROM t GROUP BY g ORDER BY g").collect()] == [(None, 150), (0, 150), (1, 150), (2, 150)]
